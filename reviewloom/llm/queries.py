@@ -7,14 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from reviewloom.llm.bpe import op7_byte_bpe
+from reviewloom.llm.licenses import op9_license_scan, op9_sql
 from reviewloom.llm.simhash import op1_simhash_near_dedup
+from reviewloom.llm.urls import OP3_SQL, op3_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup,
+        op3_url_filters,
         op7_byte_bpe,
+        op9_license_scan,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filters": OP3_SQL,
+    "op9_license_scan": op9_sql(),
+}
