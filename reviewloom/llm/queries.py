@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reviewloom.llm.bpe import op7_byte_bpe
 from reviewloom.llm.licenses import op9_license_scan, op9_sql
+from reviewloom.llm.media import op2_media_columns
+from reviewloom.llm.merkle import OP8_SQL, op8_document_fingerprints
 from reviewloom.llm.simhash import op1_simhash_near_dedup
 from reviewloom.llm.urls import OP3_SQL, op3_url_filters
 
@@ -15,13 +17,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup,
+        op2_media_columns,
         op3_url_filters,
         op7_byte_bpe,
+        op8_document_fingerprints,
         op9_license_scan,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filters": OP3_SQL,
+    "op8_document_fingerprints": OP8_SQL,
     "op9_license_scan": op9_sql(),
 }
