@@ -10,6 +10,7 @@ from reviewloom.llm.bpe import op7_byte_bpe
 from reviewloom.llm.licenses import op9_license_scan, op9_sql
 from reviewloom.llm.media import op2_media_columns
 from reviewloom.llm.merkle import OP8_SQL, op8_document_fingerprints
+from reviewloom.llm.mixing import OP5_SQL, op5_source_mixing
 from reviewloom.llm.simhash import op1_simhash_near_dedup
 from reviewloom.llm.urls import OP3_SQL, op3_url_filters
 
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_simhash_near_dedup,
         op2_media_columns,
         op3_url_filters,
+        op5_source_mixing,
         op7_byte_bpe,
         op8_document_fingerprints,
         op9_license_scan,
@@ -27,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filters": OP3_SQL,
+    "op5_source_mixing": OP5_SQL,
     "op8_document_fingerprints": OP8_SQL,
     "op9_license_scan": op9_sql(),
 }
