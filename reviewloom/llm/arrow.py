@@ -26,3 +26,17 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Re
             part = column.slice(start, rows).cast(pa.binary()).to_pylist()
             yield batch.slice(start, rows), [b"" if t is None else t for t in part]
             start += rows
+
+
+def chunks(texts: list, most_bytes: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The texts (None: empty) as UTF-8 in runs of about ``most_bytes``, a longer text alone."""
+    part, size = [], 0
+    for t in texts:
+        data = b"" if t is None else t.encode()
+        if part and size + len(data) > most_bytes:
+            yield part
+            part, size = [], 0
+        part.append(data)
+        size += len(data)
+    if part:
+        yield part

@@ -11,7 +11,9 @@ from reviewloom.llm.licenses import op9_license_scan, op9_sql
 from reviewloom.llm.media import op2_media_columns
 from reviewloom.llm.merkle import OP8_SQL, op8_document_fingerprints
 from reviewloom.llm.mixing import OP5_SQL, op5_source_mixing
+from reviewloom.llm.quality import op4_quality_classifier
 from reviewloom.llm.simhash import op1_simhash_near_dedup
+from reviewloom.llm.toxicity import op10_toxicity
 from reviewloom.llm.urls import OP3_SQL, op3_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,10 +22,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_simhash_near_dedup,
         op2_media_columns,
         op3_url_filters,
+        op4_quality_classifier,
         op5_source_mixing,
         op7_byte_bpe,
         op8_document_fingerprints,
         op9_license_scan,
+        op10_toxicity,
     )
 }
 
