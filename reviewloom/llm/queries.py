@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reviewloom.llm.bpe import op7_byte_bpe
 from reviewloom.llm.licenses import op9_license_scan, op9_sql
+from reviewloom.llm.lm import op6_lm_scores
 from reviewloom.llm.media import op2_media_columns
 from reviewloom.llm.merkle import OP8_SQL, op8_document_fingerprints
 from reviewloom.llm.mixing import OP5_SQL, op5_source_mixing
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_url_filters,
         op4_quality_classifier,
         op5_source_mixing,
+        op6_lm_scores,
         op7_byte_bpe,
         op8_document_fingerprints,
         op9_license_scan,
