@@ -108,10 +108,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, id_co
 def _judge_by_index(rows: DataFrame, index: bytes, id_col: str) -> DataFrame:
     spark = rows.sparkSession
     name = f"url-rules-{hashlib.sha256(index).hexdigest()[:32]}.idx"
-    own = os.path.join(tempfile.mkdtemp(), name)
-    with open(own, "wb") as f:
-        f.write(index)
-    spark.sparkContext.addFile(own)  # the driver serves it to every executor, new ones too
+    if not any(known.endswith(f"/{name}") for known in spark.sparkContext.listFiles):
+        own = os.path.join(tempfile.mkdtemp(), name)
+        with open(own, "wb") as f:
+            f.write(index)
+        spark.sparkContext.addFile(own)  # the driver serves it to every executor, new ones too
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Index(SparkFiles.get(name))
