@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPACES = r"[ \t\n\x0b\f\r]+"
 
@@ -58,7 +59,7 @@ def unfence(text: Column) -> Column:
 
 def cue_tags(raw: Column) -> Column:
     """Sorted distinct tags of a string delimited by comma, semicolon, slash or bar."""
-    parts = F.transform(F.split(F.lower(raw), r"[,;/|]"), F.trim)
+    parts = F.transform(F.split(F.lower(raw), r"[,;/|]"), lambda x: F.trim(x))
     return F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != "")))
 
 
@@ -92,7 +93,7 @@ def _block(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_block(texts: pd.Series) -> pd.Series:
     """The first balanced JSON object in a text; null if there is none.  Braces are not regular, so this is Python."""
     return texts.map(_block)
@@ -113,7 +114,7 @@ def _unrepeated(text: str | None) -> str | None:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def collapse_repeats(texts: pd.Series) -> pd.Series:
     """One copy of a text that says the same 25 or more words twice; the split point is searched, so this is Python."""
     return texts.map(_unrepeated)
@@ -138,7 +139,7 @@ def _clean(text: str | None) -> str | None:
     return " ".join(w)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def clean_generated(texts: pd.Series) -> pd.Series:
     """Generated text without preamble, notes, enclosing quotes and dangling last words."""
     return texts.map(_clean)
