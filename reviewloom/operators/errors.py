@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.functions.scores import ratio
 
-GOLD, PRED = F.col("y_true") == 1, F.col("y_pred") == 1
+
+
+def _flags() -> tuple[Column, Column]:
+    return F.col("y_true") == 1, F.col("y_pred") == 1
 
 
 def taxonomy(fact: DataFrame, *keys: str) -> DataFrame:
     """Rows that are exact, miss only, add only, or do both; counts and shares by keys."""
-    per = fact.groupBy(*keys, "review_id").agg(F.count(F.when(GOLD & ~PRED, 1)).alias("missed"), F.count(F.when(~GOLD & PRED, 1)).alias("extra"))
+    gold_, pred_ = _flags()
+    per = fact.groupBy(*keys, "review_id").agg(F.count(F.when(gold_ & ~pred_, 1)).alias("missed"), F.count(F.when(~gold_ & pred_, 1)).alias("extra"))
     kind = F.when((F.col("missed") == 0) & (F.col("extra") == 0), "exact").when(F.col("extra") == 0, "miss_only").when(F.col("missed") == 0, "extra_only").otherwise("both")
     counts = per.groupBy(*keys, kind.alias("kind")).agg(F.count("*").alias("n"), F.sum("missed").alias("missed"), F.sum("extra").alias("extra"))
     return counts
@@ -24,7 +28,8 @@ def confusion_pairs(fact: DataFrame, *keys: str) -> DataFrame:
     A row has at most a handful of either: they are collected per row from the
     20 cells and paired there, so nothing is joined.
     """
-    per = fact.where((GOLD & ~PRED) | (~GOLD & PRED)).groupBy(*keys, "review_id").agg(F.collect_list(F.when(GOLD, F.col("aspect"))).alias("missed"), F.collect_list(F.when(~GOLD, F.col("aspect"))).alias("extra"))
+    gold_, pred_ = _flags()
+    per = fact.where((gold_ & ~pred_) | (~gold_ & pred_)).groupBy(*keys, "review_id").agg(F.collect_list(F.when(gold_, F.col("aspect"))).alias("missed"), F.collect_list(F.when(~gold_, F.col("aspect"))).alias("extra"))
     pairs = per.select(*keys, "extra", F.explode("missed").alias("missed")).select(*keys, "missed", F.explode("extra").alias("extra"))
     return pairs.groupBy(*keys, "missed", "extra").agg(F.count("*").alias("n"))
 
@@ -46,15 +51,17 @@ def run_summary(fact: DataFrame, parsed: DataFrame) -> DataFrame:
 
 def per_aspect(fact: DataFrame, *keys: str) -> DataFrame:
     """Support, predictions and sentiment match given that the aspect was found."""
-    hit = GOLD & PRED
+    gold_, pred_ = _flags()
+    hit = gold_ & pred_
     sums = fact.groupBy(*keys, "aspect").agg(F.sum("y_true").alias("support"), F.sum("y_pred").alias("predicted"), F.count(F.when(hit, 1)).alias("tp"), F.count(F.when(hit & (F.col("pol_true") == F.col("pol_pred")), 1)).alias("matched"))
     return sums.select("*", ratio(F.col("tp"), F.col("support")).alias("recall"), ratio(F.col("matched"), F.col("tp"), None).alias("sentiment_match"))
 
 
 def polarity_recall(fact: DataFrame, *keys: str) -> DataFrame:
     """Recall, miss rate and sentiment match of gold labels by their polarity; null without support."""
-    gold = fact.where(GOLD)
-    sums = gold.groupBy(*keys, F.col("pol_true").alias("polarity")).agg(F.count("*").alias("support"), F.count(F.when(PRED, 1)).alias("found"), F.count(F.when(PRED & (F.col("pol_true") == F.col("pol_pred")), 1)).alias("matched"))
+    gold_, pred_ = _flags()
+    gold = fact.where(gold_)
+    sums = gold.groupBy(*keys, F.col("pol_true").alias("polarity")).agg(F.count("*").alias("support"), F.count(F.when(pred_, 1)).alias("found"), F.count(F.when(pred_ & (F.col("pol_true") == F.col("pol_pred")), 1)).alias("matched"))
     found, support = F.col("found"), F.col("support")
     return sums.select(*keys, "polarity", "support", ratio(found, support, None).alias("recall"), ratio(support - found, support, None).alias("miss_rate"), ratio(F.col("matched"), found, None).alias("match_rate"))
 

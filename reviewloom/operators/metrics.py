@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.scores import f1, mcc, nearest_polarity, polarity_score, ratio, specificity
 
-TP = F.sum(F.when((F.col("y_true") == 1) & (F.col("y_pred") == 1), 1).otherwise(0))
-TN = F.sum(F.when((F.col("y_true") == 0) & (F.col("y_pred") == 0), 1).otherwise(0))
-FP = F.sum(F.when((F.col("y_true") == 0) & (F.col("y_pred") == 1), 1).otherwise(0))
-FN = F.sum(F.when((F.col("y_true") == 1) & (F.col("y_pred") == 0), 1).otherwise(0))
 #: The 19 thresholds of a calibration grid, and the 101 of a curve.
 GRID = [round(0.05 * k, 2) for k in range(1, 20)]
 CURVE = [round(0.01 * k, 2) for k in range(101)]
@@ -22,7 +18,11 @@ CURVE = [round(0.01 * k, 2) for k in range(101)]
 
 def confusion(fact: DataFrame, *keys: str) -> DataFrame:
     """tp, tn, fp, fn by keys."""
-    return fact.groupBy(*keys).agg(TP.alias("tp"), TN.alias("tn"), FP.alias("fp"), FN.alias("fn"))
+
+    def cells(name: str, true: int, pred: int) -> Column:
+        return F.sum(F.when((F.col("y_true") == true) & (F.col("y_pred") == pred), 1).otherwise(0)).alias(name)
+
+    return fact.groupBy(*keys).agg(cells("tp", 1, 1), cells("tn", 0, 0), cells("fp", 0, 1), cells("fn", 1, 0))
 
 
 def rates(counts: DataFrame) -> DataFrame:

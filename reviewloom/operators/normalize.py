@@ -88,4 +88,4 @@ def restricted(labels: Column, allowed: list[str]) -> Column:
 
 def overridden(base: Column, over: Column) -> Column:
     """A map with another's values in place of its own."""
-    return F.map_concat(F.map_filter(base, lambda k, _: ~F.coalesce(F.map_contains_key(over, k), F.lit(False))), F.coalesce(over, F.map_filter(base, lambda *_: F.lit(False))))
+    return F.map_concat(F.map_filter(base, lambda k, _: ~F.coalesce(F.map_contains_key(over, k), F.lit(False))), F.coalesce(over, F.map_filter(base, lambda k, v: F.lit(False))))

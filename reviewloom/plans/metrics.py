@@ -59,7 +59,7 @@ def _by(column: str):  # type: ignore[no-untyped-def]
     @query(f"q_metrics_by_{column}", sql)
     def by(spark: SparkSession, sf_dir: str) -> DataFrame:
         f = fact(spark, sf_dir)
-        per = f.groupBy("approach", column, "review_id").agg(M.TP.alias("tp"), M.TN.alias("tn"), M.FP.alias("fp"), M.FN.alias("fn"))
+        per = M.confusion(f, "approach", column, "review_id")
         sums = per.groupBy("approach", column).agg(F.count("*").alias("n_reviews"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
         tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
         return M.rounded(sums.select("approach", column, "n_reviews", M.ratio(tp, tp + fp).alias("micro_precision"), M.ratio(tp, tp + fn).alias("micro_recall"), M.f1(tp, fp, fn).alias("micro_f1")))
