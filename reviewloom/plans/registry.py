@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reviewloom.plans import agreement, errors, ingest, labels, metrics, models, reports, samples  # noqa: F401  (each registers its queries)
+from reviewloom.plans import agreement, errors, generation, ingest, labels, metrics, models, reports, samples  # noqa: F401  (each registers its queries)
 from reviewloom.plans.core import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
