@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
 
 SLICE_ROWS = 512
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -40,3 +40,25 @@ def chunks(texts: list, most_bytes: int = 1 << 20) -> Iterator[list[bytes]]:
         size += len(data)
     if part:
         yield part
+
+
+class Memo(dict):
+    """Values made once per key, of bounded number: what was used since the last turnover outlives it.
+
+    Texts bring new words forever, so a task that remembers them needs a bound;
+    common words are asked for again before two turnovers and stay.
+    """
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most // 2, {}
+
+    def __missing__(self, key: Hashable):  # type: ignore[no-untyped-def]
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value

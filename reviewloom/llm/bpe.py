@@ -26,13 +26,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm.arrow import slices
+from reviewloom.llm.arrow import Memo, slices
 from reviewloom.staging import table
 
 LEAF_BYTES = 8
-CACHED_PIECES = 500_000
-CACHED_PAIRS = 400_000
-CACHED_PIECE_BYTES = 64
+CACHED_PIECES = 240_000
+CACHED_PAIRS = 120_000
+CACHED_PIECE_CHARS = 64
 
 
 class Codec:
@@ -45,8 +45,8 @@ class Codec:
         self.decimal = {rank: str(rank) for rank in self.token}
         self.unmerged = max(self.token) + 1
         self.pieces = regex.compile(pattern).findall
-        self._stable: dict[tuple[int, int], bool] = {}
-        self._known: dict[str, tuple[int, ...]] = {}
+        self.known = Memo(self.piece, CACHED_PIECES)
+        self.stable_pairs = Memo(lambda pair: self.merge(self.token[pair[0]] + self.token[pair[1]]) == list(pair), CACHED_PAIRS)
 
     def merge(self, data: bytes) -> list[int]:
         """Plain merging of a short run of bytes: leaves and windows."""
@@ -65,13 +65,7 @@ class Codec:
 
     def stable(self, left: int, right: int) -> bool:
         """Whether these two tokens stay as they are when they stand side by side."""
-        found = self._stable.get((left, right))
-        if found is None:
-            if len(self._stable) >= CACHED_PAIRS:
-                self._stable.clear()
-            found = self.merge(self.token[left] + self.token[right]) == [left, right]
-            self._stable[left, right] = found
-        return found
+        return self.stable_pairs[left, right]
 
     def join(self, a: list[int], b: list[int]) -> list[int]:
         """The encoding of two neighbouring texts from their encodings."""
@@ -130,16 +124,11 @@ class Codec:
         """The ids of one match of the pattern."""
         data = piece.encode()
         whole = self.rank.get(data)
-        ids = (whole,) if whole is not None else tuple(self.tree(data))
-        if len(data) <= CACHED_PIECE_BYTES:
-            if len(self._known) >= CACHED_PIECES:
-                self._known.clear()
-            self._known[piece] = ids
-        return ids
+        return (whole,) if whole is not None else tuple(self.tree(data))
 
     def encode(self, text: str) -> list[int]:
-        known, piece = self._known, self.piece
-        return [i for p in self.pieces(text) for i in known.get(p) or piece(p)]
+        known, piece = self.known, self.piece
+        return [i for p in self.pieces(text) for i in (known[p] if len(p) <= CACHED_PIECE_CHARS else piece(p))]
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of the tokens, concatenated up the tree (join concatenates equal levels in one pass)."""

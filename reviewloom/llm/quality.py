@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm.arrow import chunks, slices
+from reviewloom.llm.arrow import Memo, chunks, slices
 from reviewloom.staging import fresh_name, table
 
 BITS = 18
@@ -46,34 +46,27 @@ class Training:
     seed: int = 42
 
 
-class _Tokens(dict):
-    """token -> its hash above 8 bits of its form; bounded, as texts bring new words forever."""
-
-    LIMIT = 300_000
-
-    def __missing__(self, token: str) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        if not (token[0].isalnum() or token[0] == "_"):
-            form = 16 + sum(token.encode()) * (1 + min(len(token), 3)) % 40
-        elif token.isdigit():
-            form = 1
-        elif any(c.isdigit() for c in token):
-            form = 2
-        elif token.isupper():
-            form = 3 if len(token) > 1 else 4
-        elif token.istitle():
-            form = 5
-        else:
-            form = 6 if token.islower() else 7
-        h = 0
-        for c in token.encode():
-            h = (h * 1099511628211 ^ c) & 0xFFFFFFFFFFFF
-        self[token] = value = h << 8 | form
-        return value
-
-
-_tokens = _Tokens()
+def _coded(token: str) -> int:
+    """The hash of a token above 8 bits of its form."""
+    if not (token[0].isalnum() or token[0] == "_"):
+        form = 16 + sum(token.encode()) * (1 + min(len(token), 3)) % 40
+    elif token.isdigit():
+        form = 1
+    elif any(c.isdigit() for c in token):
+        form = 2
+    elif token.isupper():
+        form = 3 if len(token) > 1 else 4
+    elif token.istitle():
+        form = 5
+    else:
+        form = 6 if token.islower() else 7
+    h = 0
+    for c in token.encode():
+        h = (h * 1099511628211 ^ c) & 0xFFFFFFFFFFFF
+    return h << 8 | form
+
+
+_tokens = Memo(_coded, 120_000)
 
 
 def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm.arrow import chunks, slices
+from reviewloom.llm.arrow import Memo, chunks, slices
 from reviewloom.llm.quality import held_out, sample
 from reviewloom.staging import fresh_name, stage, table
 
@@ -99,25 +99,22 @@ def lexicon(rows: DataFrame, how: Training = Training()) -> dict[str, float]:
     return {r.term: r.weight for r in found.orderBy(F.desc("g2"), "term").limit(how.max_terms).collect()}  # bounded by max_terms
 
 
-class _Words(dict):
-    """word -> its flags below its lexicon weight in thousandths; bounded."""
+class _Words(Memo):
+    """word -> its flags below its lexicon weight in thousandths."""
 
-    LIMIT = 300_000
     FIXED, STRONG, WEAK, SECOND, SHOUTED, OBFUSCATED, SINGLE, LONG = (1 << k for k in range(8))
 
     def __init__(self, learned: dict[str, float]):
+        super().__init__(self.described, 120_000)
         self.learned = learned
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
+    def described(self, word: str) -> int:
         plain, obfuscated = _plain(word)
         weight = max((self.learned.get(t, 0.0) for t in _terms(plain)), default=0.0)
         fixed = plain in INSULTS
         flags = self.FIXED * fixed | self.STRONG * (weight >= 2.5) | self.WEAK * (0 < weight < 2.5) | self.SECOND * (plain in SECOND_PERSON)
         flags |= self.SHOUTED * (len(word) > 1 and word.isupper()) | self.OBFUSCATED * obfuscated | self.SINGLE * (len(word) == 1) | self.LONG * (len(word) > 20)
-        self[word] = value = int(weight * 1000) << 8 | flags
-        return value
+        return int(weight * 1000) << 8 | flags
 
 
 def dense(text: bytes, words: _Words) -> np.ndarray:
