@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reviewloom.llm import minhash
 from reviewloom.llm.arrow import slices
 from reviewloom.staging import fresh_name, stage, table
 
@@ -63,12 +64,12 @@ def fingerprint(text: bytes, words_in_shingle: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """One row (id, fp) per row of ``docs``; fp is the fingerprint as a signed long.  A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
-            fp = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -152,15 +153,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(of, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each near-duplicate component: the one of the least doc_id, all columns unchanged.
+def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float | None = None) -> DataFrame:
+    """``docs`` with one row of each near-duplicate component, all columns unchanged.
 
-    Rows that share that doc_id count as one document, of which one row stays.
-    A component whose ids are all null keeps one row.
+    Without a similarity, texts link as in ``near_duplicates``, by shingles of
+    ``words`` words; with one, their sets of such shingles have that Jaccard
+    similarity or more (see ``minhash``).  The row that stays has the least
+    (doc_id, digest of the text) of its component, null ids last.  Of rows with
+    that id and that text one stays; a doc_id with texts in several components
+    stays in each where it is least.
     """
-    found = near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key := fresh_name(docs, "kept_id"))).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept[key]), "left_semi").dropDuplicates(["doc_id"])
+    digest = fresh_name(docs, "text_digest")
+    docs_with = docs.withColumn(digest, minhash.text_digest(F.col("text")))
+    texts = docs_with.select(F.col(digest).alias("digest"), F.col("text").cast("string").alias("text"))
+    if similarity is None:
+        fps = stage(fingerprints(texts, "digest", "text", words).distinct(), "fingerprints")
+        roots = components(links(fps.select("fp").distinct()), "fp", "center")
+        of = fps.join(roots, fps.fp == roots.node, "left").select(F.col("id").alias("node"), F.coalesce("root", "fp").cast("string").alias("root"))
+    else:
+        of = components(minhash.links(texts, words, similarity), "a", "b").select("node", F.hex("root").alias("root"))
+    rows = docs_with.select(F.col("doc_id").alias("id"), F.col(digest).alias("digest"))
+    rows = rows.join(of, rows.digest == of.node, "left").withColumn("root", F.coalesce("root", F.hex("digest")))
+    least = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("least"))
+    kept = stage(least.select("least.id", "least.digest"), "kept").select(F.col("id").alias(kept_id := fresh_name(docs, "kept_id")), F.col("digest").alias(kept_text := fresh_name(docs, "kept_text")))
+    stays = docs_with.join(kept, (docs_with[digest] == kept[kept_text]) & docs_with.doc_id.eqNullSafe(kept[kept_id]), "left_semi")
+    return stays.dropDuplicates(["doc_id", digest]).drop(digest)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
