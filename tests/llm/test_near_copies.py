@@ -7,6 +7,7 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import edge  # noqa: E402
 
+import corpus_pipeline as P  # noqa: E402
 from reviewloom.llm import minhash, simhash  # noqa: E402
 
 SCHEMA = "doc_id long, text string"
@@ -32,6 +33,20 @@ def test_one_id_in_two_components_stays_in_both(spark):
     assert sorted(map(tuple, got)) == sorted(set(rows))
 
 
+def test_the_stage_drops_edited_copies_at_similarity_080(spark, sf):
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for base in range(12):
+        text = [word() for _ in range(200)]
+        rows.append((10 * base, " ".join(text)))
+        for copy, edits in ((1, 2), (2, 3), (3, 9)):  # similarities of about 0.90, 0.86 and 0.63
+            at = draw.sample(range(0, 200, 10), edits)
+            rows.append((10 * base + copy, " ".join(word() if i in at else w for i, w in enumerate(text))))
+    got = {r.doc_id for r in P.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), sf).collect()}
+    assert got == {10 * b + c for b in range(12) for c in (0, 3)}
+
+
 def test_many_copies_of_one_text_link_by_the_original(spark):
     draw = random.Random(6)
     base = [f"w{i}" for i in range(100)]
