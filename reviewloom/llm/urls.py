@@ -135,12 +135,12 @@ def _judge_by_index(rows: DataFrame, index: bytes, id_col: str) -> DataFrame:
 
 def _judge_by_join(rows: DataFrame, rules: DataFrame, id_col: str) -> DataFrame:
     """The same for rule sets of any size: questions meet rules by digest and string; distinct (host, path) are asked once."""
-    lengths = [r.n for r in rules.select(F.length("path").alias("n")).distinct().orderBy("n").limit(4096).toLocalIterator()]
+    lengths = rules.select(F.length("path").alias("n")).distinct()  # no more rows than the longest path has characters
     ways = rows.select("host", "path").where("host <> ''").distinct()
     labels = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    asked = ways.select("host", "path", F.explode(parents).alias("parent")).select("host", "path", "parent", F.explode(F.array(*[F.lit(n) for n in lengths] or [F.lit(-1)])).alias("n"))
-    asked = asked.where("n BETWEEN 0 AND length(path)").withColumn("rule", F.concat("parent", F.expr("left(path, n)"))).withColumn("key", F.xxhash64("rule"))
+    asked = ways.select("host", "path", F.explode(parents).alias("parent")).select("host", "path", "parent", F.explode(F.sequence(F.lit(0), F.length("path"))).alias("n"))
+    asked = asked.join(F.broadcast(lengths), "n", "left_semi").withColumn("rule", F.concat("parent", F.expr("left(path, n)"))).withColumn("key", F.xxhash64("rule"))
     known = rules.select(F.concat("host", "path").alias("rule"), "verdict").withColumn("key", F.xxhash64("rule"))
     best = asked.join(known, ["key", "rule"]).groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best"))
     joined = rows.join(best, ["host", "path"], "left")

@@ -49,3 +49,10 @@ def test_no_rules_and_no_pages(spark):
 
 def test_pages_equal_sql(spark, sf):
     assert same(spark, urls.op3_url_filters, ORACLE_SQL["op3_url_filters"], sf) > 0
+
+
+def test_the_join_asks_every_length(spark):
+    rules = spark.range(1, 4201).selectExpr("'a.com' AS host", "concat('/', repeat('x', int(id))) AS path", "'block' AS verdict")
+    pages = spark.createDataFrame([(1, "http://b.a.com/" + "x" * 4200), (2, "http://a.com/x?q")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, rules, max_index_bytes=0).collect()}
+    assert got == {1: ("a.com/" + "x" * 4200, "block"), 2: ("a.com/x", "block")}
