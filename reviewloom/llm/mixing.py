@@ -5,9 +5,10 @@ alike) and 1 (as they are) and normalised.  The exponent is bisected to the
 largest whose weights still have the target entropy, or to the smallest that
 repeats no source more often than allowed within the budget.  Weights become
 token quotas, and each quota is realised by block permutations: a source's
-documents are dealt to blocks by a hash of their ids, every epoch orders the
-blocks anew, whole epochs are used while the quota holds out, and of the last
-epoch the leading blocks, with the last of them cut at the budget.
+documents are dealt to blocks by a hash of their ids, one order of the blocks
+is drawn for each source and kept in all its epochs, whole epochs are used
+while the quota holds out, and of the last epoch the leading blocks, with the
+last of them cut at the budget.
 
 Only DataFrame functions are used.  What is bisected is a table with one row
 per source; each round evaluates 32 exponents in one aggregation.
@@ -93,7 +94,7 @@ def plan(docs: DataFrame, target: Target, id_col: str = "doc_id", text_col: str
     """(sources, blocks) that realise the target.
 
     sources: key, tokens, quota, n_blocks, epochs (whole ones) and left (tokens
-    of the last).  blocks: key, block, place (in the last epoch), used ("whole",
+    of the last).  blocks: key, block, place (the same in every epoch), used ("whole",
     "cut" or "none" in the last epoch), cut_hash and cut_id (the last document
     used of a cut block).
     """
@@ -121,7 +122,8 @@ def plan(docs: DataFrame, target: Target, id_col: str = "doc_id", text_col: str
 def mixture(docs: DataFrame, target: Target = Target(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` as the mixture uses them: each row once per epoch, with two more columns, epoch and place.
 
-    Sorted by (epoch, place) the rows are the block permutations.  The two
+    Sorted by (epoch, place) a source's rows repeat one permutation of its
+    blocks, the same in every epoch.  The two
     columns get other names if ``docs`` has them (see ``fresh_name``).  A source
     without words is in no mixture.  Nulls: a null source is a source of its
     own; a null text has no words and goes with its block; null ids share one
