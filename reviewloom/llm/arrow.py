@@ -57,8 +57,24 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        self.keep(key, value)
+        return value
+
+    def keep(self, key: Hashable, value) -> None:  # type: ignore[no-untyped-def]
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value
+
+    def rows(self, lists: list[list], make_all: Callable[[list], list]) -> list[list]:
+        """The values of all keys of all lists; what is not remembered is made in one call."""
+        out = [list(map(self.get, keys)) for keys in lists]
+        absent = {k for keys, row in zip(lists, out) if None in row for k, v in zip(keys, row) if v is None}
+        if absent:
+            found = {k: v for k in absent if (v := self.old.get(k)) is not None}
+            fresh = sorted(absent - found.keys())
+            found.update(zip(fresh, make_all(fresh)))
+            for k, v in found.items():
+                self.keep(k, v)
+            out = [[found[k] if v is None else v for k, v in zip(keys, row)] if None in row else row for keys, row in zip(lists, out)]
+        return out

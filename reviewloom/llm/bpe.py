@@ -12,15 +12,20 @@ are joined on the way up.  Merging takes the pair of least rank, the leftmost
 of equal ones.  A piece that is a token as a whole is that token.
 
 Texts are cut by the tokenizer's pattern first; no merge crosses such a cut, so
-pieces are encoded once and kept in a bounded cache of each worker.
+pieces are encoded once and kept in a bounded cache of each worker, with their
+ids as text and the bytes that the ids decode to.  The pieces of a slice of
+texts that are leaves are merged together in numpy.  Decoding concatenates the tokens' bytes up a tree of FAN children a node:
+bytes of tokens to bytes of a piece, and so on to the whole text.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -29,10 +34,19 @@ from pyspark.sql import functions as F
 from reviewloom.llm.arrow import Memo, slices
 from reviewloom.staging import table
 
-LEAF_BYTES = 8
+LEAF_BYTES = 16
 CACHED_PIECES = 240_000
 CACHED_PAIRS = 120_000
 CACHED_PIECE_CHARS = 64
+LONG_CHARS, BLOCK_PIECES = 1 << 20, 1 << 17
+FAN = 256
+
+
+def fold(parts: list, between: str | bytes) -> str | bytes:
+    """The parts concatenated up a tree: FAN neighbours at a time, level by level."""
+    while len(parts) > FAN:
+        parts = [between.join(parts[i : i + FAN]) for i in range(0, len(parts), FAN)]
+    return between.join(parts)
 
 
 class Codec:
@@ -44,24 +58,60 @@ class Codec:
         self.token = {rank: token for token, rank in self.rank.items()}
         self.decimal = {rank: str(rank) for rank in self.token}
         self.unmerged = max(self.token) + 1
-        self.pieces = regex.compile(pattern).findall
-        self.known = Memo(self.piece, CACHED_PIECES)
+        self.byte = [self.rank[bytes([b])] for b in range(256)]
+        self.pair = {(a, b): rank for token, rank in self.rank.items() for k in range(1, len(token)) if (a := self.rank.get(token[:k])) is not None and (b := self.rank.get(token[k:])) is not None}
+        codes = np.array([[a * (self.unmerged + 1) + b, rank] for (a, b), rank in self.pair.items()], np.int64).reshape(-1, 2)
+        self.codes, self.becomes = codes[np.argsort(codes[:, 0])].T.copy()
+        self.regex = regex.compile(pattern)
+        self.known, self.spelled = Memo(self.piece, CACHED_PIECES), Memo(self.spell, CACHED_PIECES)
         self.stable_pairs = Memo(lambda pair: self.merge(self.token[pair[0]] + self.token[pair[1]]) == list(pair), CACHED_PAIRS)
 
     def merge(self, data: bytes) -> list[int]:
         """Plain merging of a short run of bytes: leaves and windows."""
-        get, none = self.rank.get, self.unmerged
-        parts = [data[i : i + 1] for i in range(len(data))]
-        ranks = [get(data[i : i + 2], none) for i in range(len(data) - 1)]
+        get, none = self.pair.get, self.unmerged
+        ids = [self.byte[b] for b in data]
+        ranks = [get(p, none) for p in zip(ids, ids[1:])]
         while ranks and (least := min(ranks)) < none:
-            i = ranks.index(least)  # the leftmost of equal ranks
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
+            i = ranks.index(least)  # the leftmost of equal ranks; the rank of a pair is the id that it becomes
+            ids[i] = least
+            del ids[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = get(parts[i] + parts[i + 1], none)
+                ranks[i] = get((least, ids[i + 1]), none)
             if i:
-                ranks[i - 1] = get(parts[i - 1] + parts[i], none)
-        return [self.rank[p] for p in parts]
+                ranks[i - 1] = get((ids[i - 1], least), none)
+        return ids
+
+    def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of ids; ``unmerged`` for what is no pair, and beside the padding, which has that id."""
+        asked = a * (self.unmerged + 1) + b
+        at = np.minimum(np.searchsorted(self.codes, asked), len(self.codes) - 1)
+        return np.where(self.codes[at] == asked, self.becomes[at], self.unmerged)
+
+    def leaves(self, spans: list[bytes]) -> list[list[int]]:
+        """merge() of many leaves at once, in rounds: each merges the least pair of every span that has one."""
+        sizes = np.array([len(x) for x in spans])
+        inside = np.arange(sizes.max(initial=0) + 1) < sizes[:, None]
+        ids = np.full(inside.shape, self.unmerged, np.int64)
+        ids[inside] = np.array(self.byte)[np.frombuffer(b"".join(spans), np.uint8)]
+        ranks = self.pair_ranks(ids[:, :-1], ids[:, 1:])
+        out: list[list[int]] = [[]] * len(spans)
+        row = np.arange(len(spans))
+        while True:
+            best = ranks.argmin(1) if ranks.shape[1] else np.zeros(len(row), np.int64)  # the leftmost of equal ranks
+            least = ranks[np.arange(len(row)), best] if ranks.shape[1] else np.full(len(row), self.unmerged)
+            done = least == self.unmerged
+            for k, own in zip(row[done].tolist(), ids[done].tolist()):
+                out[k] = [x for x in own if x != self.unmerged]
+            if done.all():
+                return out
+            row, ids, ranks, best, least = (x[~done] for x in (row, ids, ranks, best, least))
+            each, column = np.arange(len(row)), np.arange(ids.shape[1] - 1)
+            ids[each, best] = least
+            ids = np.take_along_axis(ids, column + (column > best[:, None]), 1)
+            ranks = np.take_along_axis(ranks, column[:-1] + (column[:-1] >= best[:, None]), 1)
+            for at in (best - 1, best):
+                some = (at >= 0) & (at < ranks.shape[1])
+                ranks[each[some], at[some]] = self.pair_ranks(ids[each[some], at[some]], ids[each[some], at[some] + 1])
 
     def stable(self, left: int, right: int) -> bool:
         """Whether these two tokens stay as they are when they stand side by side."""
@@ -86,9 +136,7 @@ class Codec:
 
     def span(self, a: list[int], b: list[int]) -> list[int]:
         data = b"".join(map(self.token.__getitem__, a + b))
-        if len(data) <= 4 * LEAF_BYTES:
-            return self.merge(data)
-        return self.heap(data)
+        return self.merge(data) if len(data) <= 2 * LEAF_BYTES else self.heap(data)
 
     def heap(self, data: bytes) -> list[int]:
         """Merging of a longer window, by a heap of neighbouring pairs."""
@@ -126,13 +174,62 @@ class Codec:
         whole = self.rank.get(data)
         return (whole,) if whole is not None else tuple(self.tree(data))
 
-    def encode(self, text: str) -> list[int]:
-        known, piece = self.known, self.piece
-        return [i for p in self.pieces(text) for i in (known[p] if len(p) <= CACHED_PIECE_CHARS else piece(p))]
+    def encode_all(self, pieces: list[str]) -> list[tuple[int, ...]]:
+        """piece() of many: the short ones are leaves and are merged together."""
+        data = [p.encode() for p in pieces]
+        out = [(whole,) if (whole := self.rank.get(x)) is not None else None for x in data]
+        short = [k for k, x in enumerate(data) if out[k] is None and len(x) <= LEAF_BYTES]
+        for k, ids in zip(short, self.leaves([data[k] for k in short])):
+            out[k] = tuple(ids)
+        return [tuple(self.tree(x)) if ids is None else ids for x, ids in zip(data, out)]
+
+    def spelling(self, ids: tuple[int, ...]) -> tuple[str, bytes]:
+        """Ids in decimals joined by commas, and the bytes that they decode to."""
+        return ",".join(map(self.decimal.__getitem__, ids)), self.decode(ids)
+
+    def spell(self, piece: str) -> tuple[str, bytes]:
+        return self.spelling(self.piece(piece))
+
+    def spell_all(self, pieces: list[str]) -> list[tuple[str, bytes]]:
+        return list(map(self.spelling, self.encode_all(pieces)))
+
+    def blocks(self, text: str) -> Iterator[list[str]]:
+        """The pieces of a text; those of a long one in blocks, so that they are not all in memory."""
+        if len(text) <= LONG_CHARS:
+            yield self.regex.findall(text)
+            return
+        matches = self.regex.finditer(text)
+        while block := [m[0] for m in islice(matches, BLOCK_PIECES)]:
+            yield block
+
+    def values(self, lists: list[list[str]], memo: Memo, make_all: Callable[[list[str]], list]) -> list[list]:
+        """A value per piece, remembered for pieces that are not long."""
+        long = {p for own in lists for p in own if len(p) > CACHED_PIECE_CHARS}
+        if not long:
+            return memo.rows(lists, make_all)
+        made = {p: memo.make(p) for p in long}
+        rows = memo.rows([[p for p in own if p not in long] for own in lists], make_all)
+        return [[made[p] if p in long else next(rest) for p in own] for own, rest in zip(lists, map(iter, rows))]
 
-    def decode(self, ids: list[int]) -> bytes:
-        """The bytes of the tokens, concatenated up the tree (join concatenates equal levels in one pass)."""
-        return b"".join(map(self.token.__getitem__, ids))
+    def encode(self, text: str) -> list[int]:
+        return [i for block in self.blocks(text) for ids in self.values([block], self.known, self.encode_all)[0] for i in ids]
+
+    def decode(self, ids: list[int] | tuple[int, ...]) -> bytes:
+        """The bytes of the tokens, concatenated up the tree."""
+        return fold(list(map(self.token.__getitem__, ids)), b"")
+
+    def round_trips(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """Per text: the number of ids, the digest of the ids as text, and that of the bytes that they decode to."""
+        together = self.values([self.regex.findall(t) for t in texts if len(t) <= LONG_CHARS], self.spelled, self.spell_all)
+        short = iter(together)
+        for t in texts:
+            ids_digest, data_digest, n = hashlib.sha256(), hashlib.sha256(), 0
+            for rows in [next(short)] if len(t) <= LONG_CHARS else (self.values([block], self.spelled, self.spell_all)[0] for block in self.blocks(t)):
+                ids = fold([r[0] for r in rows], ",")
+                ids_digest.update((f",{ids}" if n else ids).encode())
+                data_digest.update(fold([r[1] for r in rows], b""))
+                n += ids.count(",") + 1 if rows else 0
+            yield n, ids_digest.hexdigest(), data_digest.hexdigest()
 
 
 _codecs: dict[str, Codec] = {}
@@ -195,12 +292,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern)
         for batch, texts in slices(batches, "text"):
-            counts, encoded, decoded = [], [], []
-            for t in texts:
-                ids = codec.encode(t.decode())
-                counts.append(len(ids))
-                encoded.append(hashlib.sha256(",".join(map(codec.decimal.__getitem__, ids)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+            counts, encoded, decoded = zip(*codec.round_trips([t.decode() for t in texts]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -67,3 +67,24 @@ def test_edge_cases_and_real_outputs(spark):
     want = {i: (t or "").encode() for i, t, *_ in edge.rows()}
     assert all(bytes(r.data) == want[r.doc_id] for r in back)
     assert bpe.round_trip(edge.empty(spark), PATH, PATTERN).count() == 0
+
+
+def test_leaves_merged_together_equal_leaves_merged_alone(codec):
+    draw = random.Random(3)
+    spans = [bytes(draw.choice(b"abe thing\xc3\xa9\n=") for _ in range(draw.randrange(17))) for _ in range(500)]
+    assert codec.leaves(spans) == [codec.merge(x) for x in spans] and codec.leaves([]) == []
+
+
+def test_long_texts_go_in_blocks(codec, reference, monkeypatch):
+    text = "Ünder the 中文 sky " * 500 + "x" * 300 + " =" * 400
+    whole = list(codec.round_trips([text, "", text]))
+    monkeypatch.setattr(bpe, "LONG_CHARS", 1000)
+    monkeypatch.setattr(bpe, "BLOCK_PIECES", 7)
+    ids = reference.encode_ordinary(text)
+    assert list(codec.round_trips([text, "", text])) == whole and codec.encode(text) == ids
+    assert whole[0] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_fold_is_a_join(codec):
+    parts = [str(i) for i in range(70_000)]
+    assert bpe.fold(parts, ",") == ",".join(parts) and bpe.fold([], ",") == "" and bpe.fold([], b"") == b""
