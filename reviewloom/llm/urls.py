@@ -2,16 +2,19 @@
 
 A rule is a host and the start of a path; its key is the 64-bit XXH64 of host
 followed by path.  The index file holds the sorted keys, then the rules' full
-strings and verdicts.  Each worker memory-maps it.  A url asks for its host
-and every parent domain, each with the start of its path at every length that
-a rule's path has; all questions of a batch are hashed and looked up in one
-vectorised binary search, every hit is confirmed against the stored string,
-and the longest confirmed rule wins.  A url that no rule fits gets the
-method's own verdict: a blocklist allows what it doesn't hold.
+strings and verdicts, and beside them the sorted keys of the rules' hosts, each
+with the lengths of the paths that it has rules for.  Each worker memory-maps
+it.  A url asks which of its host's endings are hosts of rules, no longer ones
+than the rules have, and then for each of these and each of its lengths whether
+that start of the path is a rule.  The questions of many urls are hashed and
+looked up in one vectorised binary search, every hit is confirmed against the
+stored string, and the longest confirmed rule wins; of two alike that with the
+longer host.  A url that no rule fits gets the method's own verdict: a
+blocklist allows what it doesn't hold.
 
 An index within ``max_index_bytes`` is shipped to the executors as a file.  A
-larger rule set is never collected: the questions are joined to the rules by
-digest and string instead.
+larger rule set is never collected: the same questions are joined to the rules
+by digest and string instead, with the same answers.
 """
 
 from __future__ import annotations
@@ -31,21 +34,39 @@ from pyspark.sql import functions as F
 from reviewloom.staging import table
 
 MAX_INDEX_BYTES = 64 << 20
+_ROWS, _QUESTION_CHARS = 4096, 8 << 20  # urls and characters asked at once
 ELSE = "allow"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules of the registered query: host, path, verdict.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
+def _lower(host: str) -> str:
+    return host.translate(str.maketrans(_UPPER, _LOWER))
+
+
 def build_index(rules: list[tuple[str, str, str]]) -> bytes:
-    """The index file: counts, sorted keys, string offsets, the paths' lengths, verdicts, strings."""
-    keyed = sorted({(xxhash.xxh64_intdigest(rule := (host + path).encode()), rule, len(path), verdict == "block") for host, path, verdict in rules})
-    lengths = sorted({k[2] for k in keyed})
-    strings = [k[1] for k in keyed]
-    head = np.array([len(keyed), len(lengths)], "<u8").tobytes()
-    keys = np.array([k[0] for k in keyed], "<u8").tobytes()
-    offsets = np.cumsum([0, *map(len, strings)]).astype("<u8").tobytes()
-    return head + keys + offsets + np.array(lengths, "<u8").tobytes() + bytes(k[3] for k in keyed) + b"".join(strings)
+    """The index file: counts, sorted keys, string offsets, the hosts' keys and their paths' lengths, verdicts, strings.
+
+    Rules without a host, or with a path that no url's path can start with, fit
+    nothing and are left out; of a rule with two verdicts "block" counts.
+    """
+    held: dict[tuple[str, str], bool] = {}
+    for host, path, verdict in rules:
+        if host and (not path or path.startswith("/")):
+            rule = (_lower(host), path or "")
+            held[rule] = held.get(rule, False) or verdict == "block"
+    keyed = sorted((xxhash.xxh64_intdigest(rule := (host + path).encode()), rule, block) for (host, path), block in held.items())
+    lengths: dict[str, set[int]] = {}
+    for host, path in held:
+        lengths.setdefault(host, set()).add(len(path))
+    hosts = sorted((xxhash.xxh64_intdigest(host.encode()), sorted(own)) for host, own in lengths.items())
+    numbers = lambda x: np.array(x, "<u8").tobytes()
+    labels, chars = max((h.count(".") + 1 for h in lengths), default=0), max(map(len, lengths), default=0)
+    head = numbers([len(keyed), len(hosts), sum(len(own) for _, own in hosts), labels, chars])
+    spans = lambda sizes: numbers(np.cumsum([0, *sizes], dtype=np.uint64))
+    body = [numbers([k[0] for k in keyed]), spans(len(k[1]) for k in keyed), numbers([h[0] for h in hosts]), spans(len(h[1]) for h in hosts), numbers([n for _, own in hosts for n in own])]
+    return head + b"".join(body) + bytes(k[2] for k in keyed) + b"".join(k[1] for k in keyed)
 
 
 class Index:
@@ -53,11 +74,15 @@ class Index:
 
     def __init__(self, path: str):
         data = np.memmap(path, np.uint8, "r")
-        n, m = (int(x) for x in data[:16].view("<u8"))
-        at = 16
-        self.keys, at = data[at : at + 8 * n].view("<u8"), at + 8 * n
-        self.offsets, at = data[at : at + 8 * (n + 1)].view("<u8"), at + 8 * (n + 1)
-        self.lengths, at = data[at : at + 8 * m].view("<u8").tolist(), at + 8 * m
+        n, h, m, self.labels, self.chars = (int(x) for x in data[:40].view("<u8"))
+        at = 40
+
+        def take(count: int) -> np.ndarray:
+            nonlocal at
+            at += 8 * count
+            return data[at - 8 * count : at].view("<u8")
+
+        self.keys, self.offsets, self.hosts, self.spans, self.lengths = take(n), take(n + 1), take(h), take(h + 1), take(m)
         self.block, self.strings = data[at : at + n], data[at + n :]
 
     def probe(self, asked: list[bytes]) -> np.ndarray:
@@ -71,6 +96,49 @@ class Index:
                     found[i] = k
         return found
 
+    def known_endings(self, hosts: list[str]) -> list[list[tuple[str, list[int]]]]:
+        """Per host its endings that have rules, each with its paths' lengths; a digest met by chance costs a question and no more."""
+        endings = [host_endings(h, self.labels, self.chars) for h in hosts]
+        flat = np.array([xxhash.xxh64_intdigest(e.encode()) for own in endings for e in own], np.uint64)
+        low, high = (np.searchsorted(self.hosts, flat, side).tolist() for side in ("left", "right"))
+        at, out = 0, []
+        for own in endings:
+            known = [(e, sorted({n for j in range(low[k], high[k]) for n in self.lengths[int(self.spans[j]) : int(self.spans[j + 1])].tolist()})) for k, e in enumerate(own, at) if low[k] < high[k]]
+            out.append(known)
+            at += len(own)
+        return out
+
+    def judge(self, hosts: list[str], paths: list[str]) -> Iterator[tuple[str | None, str]]:
+        """(rule or None, verdict) of each url, in order."""
+        asked, ends, size = [], [0], 0
+
+        def answers() -> Iterator[tuple[str | None, str]]:
+            found = self.probe(asked)
+            for a, b in zip(ends, ends[1:]):
+                hit = next((i for i in range(a, b) if found[i] >= 0), None)  # the longest comes first
+                yield (None, ELSE) if hit is None else (asked[hit].decode(), "block" if self.block[found[hit]] else "allow")
+
+        for known, path in zip(self.known_endings(hosts), paths):
+            own = [(len(e) + n, len(e), e, n) for e, lengths in known for n in lengths if n <= len(path)]
+            asked += [(e + path[:n]).encode() for _, _, e, n in sorted(own, reverse=True)]
+            ends.append(len(asked))
+            size += sum(total for total, *_ in own)
+            if size > _QUESTION_CHARS:
+                yield from answers()
+                asked, ends, size = [], [0], 0
+        yield from answers()
+
+
+def host_endings(host: str, most_labels: int, most_chars: int) -> list[str]:
+    """The host and its parent domains, shortest first, as far as rules can have them."""
+    labels, out, ending = host.rsplit(".", most_labels), [], None
+    for label in reversed(labels[-most_labels:] if most_labels and host else []):
+        ending = label if ending is None else f"{label}.{ending}"
+        if len(ending) > most_chars:
+            break
+        out.append(ending)
+    return out
+
 
 def parts(url: F.Column) -> tuple[F.Column, F.Column]:
     """Host in lower case and path of a url; both empty if it is null or has no ``://``."""
@@ -79,29 +147,26 @@ def parts(url: F.Column) -> tuple[F.Column, F.Column]:
     return F.translate(F.regexp_extract(after, r"^([^/?#]*)", 1), _UPPER, _LOWER), F.regexp_extract(after, r"^[^/?#]*([^?#]*)", 1)
 
 
-def questions(host: str, path: str, lengths: list[int]) -> list[bytes]:
-    """Every rule that could fit: the host and its parent domains by the starts of the path, longest first."""
-    labels = host.split(".")
-    starts = [path[:k] for k in lengths if k <= len(path)]
-    asked = [".".join(labels[i:]) + start for i in range(len(labels)) if host for start in starts]
-    return [a.encode() for a in sorted(asked, key=len, reverse=True)]
-
-
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, id_col: str = "page_id", url_col: str = "url", max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
     """One row per row of ``pages``: id, host, path, rule (null if none fits), verdict.
 
     ``rules`` is a list, or a frame (host, path, verdict).  Nulls: a null url
     has an empty host and path, fits no rule and gets the method's verdict; a
-    null id stays.  Empty tables and empty rule sets work; repeated rows stay;
-    other columns are not read.
+    null id stays; a rule without a host fits nothing, one without a path fits
+    all of its host.  Ties: see above; a rule given with both verdicts blocks.
+    A host of any length asks no more endings than the rules' hosts have
+    labels, and a path of any length no more starts than they have lengths.
+    Empty tables and empty rule sets work; repeated rows stay; other columns
+    are not read.
     """
     host, path = parts(F.col(url_col))
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     if isinstance(rules, DataFrame):
-        size = rules.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 24), F.lit(0)).alias("n")).first()["n"]
+        rules = rules.select("host", F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host <> ''")
+        size = rules.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 40), F.lit(0)).alias("n")).first()["n"]
         if size > max_index_bytes:
             return _judge_by_join(rows, rules, id_col)
-        rules = [(r.host, r.path, r.verdict) for r in rules.select("host", "path", "verdict").toLocalIterator()]
+        rules = [(r.host, r.path, r.verdict) for r in rules.toLocalIterator()]  # within max_index_bytes
     return _judge_by_index(rows, build_index(rules), id_col)
 
 
@@ -116,33 +181,29 @@ def _judge_by_index(rows: DataFrame, index: bytes, id_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Index(SparkFiles.get(name))
-        for batch in batches:
-            asked, ends = [], [0]
-            for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                asked += questions(h, p, held.lengths)
-                ends.append(len(asked))
-            found = held.probe(asked)
-            rule, verdict = [], []
-            for a, b in zip(ends, ends[1:]):
-                hit = next((i for i in range(a, b) if found[i] >= 0), None)  # the longest comes first
-                rule.append(None if hit is None else asked[hit].decode())
-                verdict.append(ELSE if hit is None else "block" if held.block[found[hit]] else "allow")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["id", "host", "path", "rule", "verdict"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(start, _ROWS)
+                rule, verdict = zip(*held.judge(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["id", "host", "path", "rule", "verdict"])
 
     kind = rows.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)
 
 
 def _judge_by_join(rows: DataFrame, rules: DataFrame, id_col: str) -> DataFrame:
-    """The same for rule sets of any size: questions meet rules by digest and string; distinct (host, path) are asked once."""
-    lengths = rules.select(F.length("path").alias("n")).distinct()  # no more rows than the longest path has characters
-    ways = rows.select("host", "path").where("host <> ''").distinct()
+    """The same for rule sets of any size: hosts' endings meet the rules' hosts, then starts of paths the rules; distinct (host, path) are asked once."""
+    known = rules.where("path = '' OR path LIKE '/%'").select(F.translate("host", _UPPER, _LOWER).alias("ending"), "path", "verdict")
+    known = known.groupBy("ending", "path").agg(F.max("verdict").alias("verdict"))  # "block" is the greater
+    most = known.agg(F.max(F.size(F.split("ending", r"\."))).alias("labels")).first()["labels"] or 0  # one row
+    lengths = known.select("ending", F.length("path").alias("n")).distinct()
     labels = F.split("host", r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    asked = ways.select("host", "path", F.explode(parents).alias("parent")).select("host", "path", "parent", F.explode(F.sequence(F.lit(0), F.length("path"))).alias("n"))
-    asked = asked.join(F.broadcast(lengths), "n", "left_semi").withColumn("rule", F.concat("parent", F.expr("left(path, n)"))).withColumn("key", F.xxhash64("rule"))
-    known = rules.select(F.concat("host", "path").alias("rule"), "verdict").withColumn("key", F.xxhash64("rule"))
-    best = asked.join(known, ["key", "rule"]).groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best"))
+    parents = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(max(most, 1)))), lambda k: F.array_join(F.slice(labels, -k, k), "."))
+    asked = rows.select("host", "path").where("host <> ''").distinct().select("host", "path", F.explode(parents).alias("ending"))
+    asked = asked.join(lengths, "ending").where(F.col("n") <= F.length("path")).select("host", "path", "ending", F.expr("left(path, n)").alias("start"))
+    keyed = lambda df, start: df.withColumn("key", F.xxhash64(F.concat("ending", start)))
+    found = keyed(asked, "start").join(keyed(known.withColumnRenamed("path", "start"), "start"), ["key", "ending", "start"])
+    best = found.groupBy("host", "path").agg(F.max(F.struct((F.length("ending") + F.length("start")).alias("n"), F.length("ending").alias("of_host"), F.concat("ending", "start").alias("rule"), "verdict")).alias("best"))
     joined = rows.join(best, ["host", "path"], "left")
     return joined.select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(ELSE)).alias("verdict"))
 
