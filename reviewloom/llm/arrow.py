@@ -11,7 +11,7 @@ SLICE_BYTES = 2 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Pieces of each batch with the UTF-8 bytes of column ``text`` (null: empty).
+    """Pieces of each batch, none of them empty, with the bytes of column ``text`` (null: empty).
 
     A piece has at most SLICE_ROWS rows and about SLICE_BYTES of text, so that
     a batch of very long texts does not become as many Python objects at once.

@@ -43,6 +43,48 @@ def test_resize_is_the_area_mean():
     assert np.allclose(media.resize(image[:1, :1], 3, 3), image[0, 0])
 
 
+@pytest.mark.parametrize("samples", [1, 18, 40, 1 << 20])
+def test_strips_of_any_size_give_the_same(monkeypatch, samples):
+    image = np.random.default_rng(5).integers(0, 65536, (37, 18, 3), np.uint16)
+    want = np.kron(image.astype(float), np.ones((8, 9, 1))).reshape(8, 37, 9, 18, 3).mean((1, 3))
+    monkeypatch.setattr(media, "STRIP_SAMPLES", samples)
+    assert np.allclose(media.resize(image, 8, 9), want)
+
+
+def test_headers_that_promise_too_much_are_damage(spark):
+    bad = [b"P5 99999999999 99999999999 255\n\x00", b"P4 4294967296 4294967296\n", b"P2 1 1 255\n99999999999999999999999", b"P2 1 1 255\n300", b"P1 999999 999999\n1", b"BM" + b"\x7f" * 60, b"P5 " + b"9" * 5000, b"P2 1 1 255\n-1"]
+    assert [media.decode(x) for x in bad] == [None] * len(bad)
+    rows = [(k, len(x), bytearray(x)) for k, x in enumerate(bad)] + [(98, None, None), (99, 0, bytearray(b""))]
+    got = {r.doc_id: r for r in media.media_digests(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert all(r.feature is None and r.payload_sha256 is None and r.tile is None for r in got.values())
+    assert got[0].media_sha256 == hashlib.sha256(bad[0]).hexdigest() and got[98].media_bytes is None and got[99].media_bytes == 0
+
+
+def bmp(bits, width, height, rows, palette=b""):
+    head = b"BM" + (54 + len(palette) + len(rows)).to_bytes(4, "little") + bytes(4) + (54 + len(palette)).to_bytes(4, "little")
+    fields = ((40, 4), (width, 4), (height, 4), (1, 2), (bits, 2), (0, 4), (len(rows), 4), (0, 4), (0, 4), (len(palette) // 4, 4), (0, 4))
+    return head + b"".join(n.to_bytes(size, "little") for n, size in fields) + palette + rows
+
+
+def test_bmp_of_few_and_of_sixteen_bits():
+    grey = b"".join(bytes([v, v, v, 0]) for v in (0, 255))
+    assert media.decode(bmp(1, 3, 2, b"\xa0\0\0\0\x40\0\0\0", grey))[:, :, 0].tolist() == [[0, 255, 0], [255, 0, 255]]
+    four = b"".join(bytes([v * 16] * 3 + [0]) for v in range(16))
+    assert media.decode(bmp(4, 3, 1, b"\x1f\x20\0\0", four))[:, :, 0].tolist() == [[16, 240, 32]]
+    assert media.decode(bmp(16, 2, 1, (31 << 10).to_bytes(2, "little") + (31).to_bytes(2, "little")))[0].tolist() == [[255, 0, 0], [0, 0, 255]]
+
+
+def test_a_long_text_takes_little_beside_itself():
+    import tracemalloc
+
+    image = np.zeros((900_000, 24, 1), np.uint8)
+    tracemalloc.start()
+    media.difference_hash(image)
+    media.npy_tile(image)
+    assert tracemalloc.get_traced_memory()[1] < 60e6  # the image has 21.6 MB; a whole integral image would be 172 MB and more
+    tracemalloc.stop()
+
+
 def test_difference_hash_and_tile():
     ramp = np.tile(np.arange(0, 180, 10, dtype=np.uint8), (16, 1))[:, :, None]
     assert media.difference_hash(ramp) == (1 << 64) - 1 and media.difference_hash(ramp[:, ::-1]) == 0
