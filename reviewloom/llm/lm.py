@@ -7,19 +7,20 @@ characters, and the end is one.  The class has a log-bilinear distribution
 given the two classes before it: the context vector is the sum of their
 vectors, each scaled by its position's diagonal, and a class's logit is the dot
 product with its own vector and a bias.  Then the word within its bucket, by
-its smoothed count over all training documents, with room for one unseen word.
-Both steps are normalised, so a score is a probability over all token strings
-and can be held against the smoothed unigram score beside it.
+its smoothed count over all training documents, with room for an unseen word.
+The class distribution is normalised over all classes and the second step over
+a bucket's known words and one unseen one, so a score can be held against the
+smoothed unigram score beside it, which treats unseen words alike.
 
 Word counts, bucket totals and the counts of class trigrams cover all training
-documents and are summed in Spark.  The trigram table is bounded by the number
-of classes, not by the corpus; a bounded number of training events is drawn
-from it in proportion to the counts, and one task trains on these, in numpy.
-Scoring needs each context's normaliser, which matrix products over all pairs
-of classes give once per worker.
-
-Counts of frequent words are broadcast (at most HOT_WORDS of them); the other
-words of a text meet their counts in a join.
+documents and are summed in Spark.  All trigrams train, each with its count as
+weight: they are dealt to as many tasks as their number asks for, each task
+takes its share of a round through numpy, and the tasks' parameters are
+averaged after every round.  A context's normaliser is a matrix product, made
+once per worker for each pair of classes that occurs.
+
+Counts of frequent words are broadcast (at most HOT_WORDS of them, none above
+HOT_BYTES); the other words of a text meet their counts in a join.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import math
 import pickle
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -41,29 +43,48 @@ from reviewloom.llm.arrow import slices
 from reviewloom.llm.quality import held_out
 from reviewloom.staging import stage, table
 
-WORDS, BUCKETS = 255, 64
+WORDS, BUCKETS = 1023, 64
 END = WORDS + BUCKETS  # the class of the end
 BEGIN = END + 1  # stands before a text, as a context only
 CLASSES = END + 1
-HOT_WORDS = 200_000
+HOT_WORDS, HOT_BYTES = 200_000, 64
 _FLUSH_WORDS = 300_000
 _FLUSH_EVENTS = 4_000_000
+_SCORED_TOKENS = 1 << 18
 _END_WORD = ""  # no word is empty
+_RUN_BYTES = 1 << 20
+_GAP = re.compile(rb"[ \t\n\x0b\f\r]")
 
 
 @dataclass(frozen=True)
 class Training:
-    """events: class trigrams to train on, drawn from the counts of all; noise: classes drawn for a whole minibatch."""
+    """rounds: after each, the tasks' parameters are averaged; share: distinct trigrams to a task, about.
+
+    weight: an event stands for so many occurrences at most, a more frequent
+    trigram is several events; noise: classes drawn for a whole minibatch.
+    """
 
     size: int = 32
-    events: int = 1_000_000
-    epochs: int = 2
-    batch: int = 1024
-    noise: int = 64
-    rate: float = 0.1
+    rounds: int = 4
+    share: int = 1 << 20
+    weight: float = 8.0
+    batch: int = 256
+    noise: int = 128
+    rate: float = 0.2
     seed: int = 42
 
 
+def word_runs(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, in runs of about _RUN_BYTES, so that those of a very long one aren't all in memory."""
+    start = 0
+    while len(text) - start > _RUN_BYTES:
+        gap = _GAP.search(text, start + _RUN_BYTES)
+        end = gap.start() if gap else len(text)
+        yield text[start:end].lower().split()
+        start = end
+    yield (text[start:] if start else text).lower().split()
+
+
 def bucket(word: str) -> int:
     return WORDS + zlib.crc32(word[-2:].encode()) % BUCKETS
 
@@ -85,7 +106,9 @@ class _Classes(dict):
         if len(self) >= self.LIMIT:
             self.clear()
             self.update(self.words)
-        self[word] = value = bucket(word.decode())
+        value = bucket(word.decode())
+        if len(word) <= HOT_BYTES:
+            self[word] = value
         return value
 
 
@@ -102,21 +125,34 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
         for batch, part in slices(batches, "text"):
             for t in part:
-                seen.update(t.lower().split())
+                for words in word_runs(t):
+                    seen.update(words)
+                    if len(seen) > _FLUSH_WORDS:
+                        yield flush()
             seen[b""] += batch.num_rows
-            if len(seen) > _FLUSH_WORDS:
-                yield flush()
         yield flush()
 
     return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _contexts(classes: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(two before, before, class) of every token of all texts."""
-    flat = np.fromiter((c for own in classes for c in (BEGIN, BEGIN, *own)), np.int64)
-    ends = np.cumsum([len(own) + 2 for own in classes])
+def _runs_of_classes(text: bytes, known: _Classes) -> Iterator[tuple[list[bytes], list[int]]]:
+    """(words, classes) of each run of a text; the classes begin with the two before the run, and the last ends with the end."""
+    before, held = [BEGIN, BEGIN], None
+    for words in word_runs(text):
+        if held is not None:
+            yield held
+        own = before + list(map(known.__getitem__, words))
+        held, before = (words, own), own[-2:]
+    held[1].append(END)
+    yield held
+
+
+def _contexts(runs: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(two before, before, class) of every token of runs that begin with two classes of context."""
+    sizes = np.array([len(own) for own in runs], np.int64)
+    flat = np.fromiter((c for own in runs for c in own), np.int64, sizes.sum())
     inside = np.ones(len(flat), bool)
-    starts = ends - [len(own) + 2 for own in classes]
+    starts = np.cumsum(sizes) - sizes
     inside[starts] = inside[starts + 1] = False
     at = np.nonzero(inside)[0]
     return flat[at - 2], flat[at - 1], flat[at]
@@ -134,109 +170,164 @@ def class_events(texts: DataFrame, words: list[str]) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], names=["code", "n"])
 
         for _, part in slices(batches, "text"):
-            a, b, c = _contexts([[*map(known.__getitem__, t.lower().split()), END] for t in part])
-            held.append((a * (CLASSES + 1) + b) * (CLASSES + 1) + c)
-            size += len(c)
-            if size > _FLUSH_EVENTS:
-                yield flush()
-                size = 0
+            runs, waiting = [], 0
+            for t in part:
+                for _, own in _runs_of_classes(t, known):
+                    runs.append(own)
+                    waiting += len(own)
+                    if waiting > _SCORED_TOKENS:
+                        held.append(encoded(*_contexts(runs)))
+                        size, runs, waiting = size + waiting, [], 0
+                        if size > _FLUSH_EVENTS:
+                            yield flush()
+                            size = 0
+            held.append(encoded(*_contexts(runs)))
+            size += waiting
         yield flush()
 
     return texts.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
+def encoded(far: np.ndarray, near: np.ndarray, target: np.ndarray) -> np.ndarray:
+    return (far * (CLASSES + 1) + near) * (CLASSES + 1) + target
+
+
 class LogBilinear:
-    """Vectors of contexts and classes, the positions' diagonals and the classes' biases."""
+    """Vectors of contexts and classes, the positions' diagonals and the classes' biases; and the squares of their gradients."""
+
+    NAMES = ("before", "after", "near", "far", "bias")
 
     def __init__(self, how: Training, unigram: np.ndarray):
         draw = np.random.default_rng(how.seed)
         self.before = draw.normal(0, 0.1, (CLASSES + 1, how.size)).astype(np.float32)
         self.after = draw.normal(0, 0.1, (CLASSES, how.size)).astype(np.float32)
         self.near, self.far = np.ones(how.size, np.float32), np.full(how.size, 0.5, np.float32)
-        self.bias = np.log(unigram).astype(np.float32)
+        self.unigram = unigram / unigram.sum()
+        self.bias = np.log(self.unigram).astype(np.float32)
+        self.squares = {k: np.full_like(getattr(self, k), 1e-3) for k in self.NAMES}
+
+    def packed(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for k in self.NAMES for x in (getattr(self, k), self.squares[k])]).astype(np.float64)
+
+    def unpack(self, values: np.ndarray) -> None:
+        at = 0
+        for k in self.NAMES:
+            shape, size = getattr(self, k).shape, getattr(self, k).size
+            setattr(self, k, values[at : at + size].reshape(shape).astype(np.float32))
+            self.squares[k] = values[at + size : at + 2 * size].reshape(shape).astype(np.float32)
+            at += 2 * size
 
     def context(self, far: np.ndarray, near: np.ndarray) -> np.ndarray:
         return self.before[far] * self.far + self.before[near] * self.near
 
-    def normalisers(self) -> np.ndarray:
-        """The log of the sum of exponentiated logits for each pair of context classes."""
-        near = np.arange(CLASSES + 1)
-        out = np.empty((CLASSES + 1, CLASSES + 1), np.float32)
-        for far in near:
-            logits = self.context(np.full_like(near, far), near) @ self.after.T + self.bias
+    def normalisers(self, far: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """The log of the sum of exponentiated logits for each of these contexts."""
+        out = np.empty(len(far), np.float32)
+        for k in range(0, len(far), 1 << 12):
+            part = slice(k, k + (1 << 12))
+            logits = self.context(far[part], near[part]) @ self.after.T + self.bias
             top = logits.max(1)
-            out[far] = top + np.log(np.exp(logits - top[:, None]).sum(1))
+            out[part] = top + np.log(np.exp(logits - top[:, None]).sum(1))
         return out
 
 
-def train_nce(codes: np.ndarray, counts: np.ndarray, how: Training) -> LogBilinear:
-    """Noise-contrastive estimation on (code, count) events with Adagrad; noise is the events' class unigram."""
-    events = np.repeat(codes, counts)
-    target = events % (CLASSES + 1)
-    unigram = np.bincount(target, minlength=CLASSES) + 0.5
-    unigram = unigram / unigram.sum()
-    model = LogBilinear(how, unigram)
-    if not len(events):
-        return model
-    draw = np.random.default_rng(how.seed + 1)
-    log_noise = np.log(how.noise * unigram).astype(np.float32)
-    cumulative = np.cumsum(unigram)
-    names = ("before", "after", "near", "far", "bias")
-    squares = {k: np.full_like(getattr(model, k), 1e-3) for k in names}
+def train_nce(model: LogBilinear, codes: np.ndarray, counts: np.ndarray, how: Training, seed: int) -> None:
+    """One pass of noise-contrastive estimation over (code, count) with Adagrad; noise is the class unigram.
+
+    A trigram is as many events as its count asks for, each of the same weight.
+    """
+    if not len(codes):
+        return
+    repeats = np.ceil(counts / how.weight).astype(np.int64)
+    events, weights = np.repeat(codes, repeats), np.repeat(counts / repeats, repeats).astype(np.float32)
+    weights /= weights.mean()
+    draw = np.random.default_rng([how.seed, seed])
+    log_noise = np.log(how.noise * model.unigram).astype(np.float32)
+    cumulative = np.cumsum(model.unigram)
     sigmoid = lambda x: 1 / (1 + np.exp(-x))
 
     def step(name: str, gradient: np.ndarray, at: np.ndarray | None = None) -> None:
-        value, square = getattr(model, name), squares[name]
+        value, square = getattr(model, name), model.squares[name]
         if at is None:
             square += gradient * gradient
             value -= how.rate * gradient / np.sqrt(square)
             return
-        rows, place = np.unique(at, return_inverse=True)
-        order = np.argsort(place, kind="stable")
-        summed = np.add.reduceat(gradient[order], np.searchsorted(place[order], np.arange(len(rows))), axis=0)
+        order = np.argsort(at, kind="stable")
+        sorted_ = at[order]
+        firsts = np.nonzero(np.append(True, sorted_[1:] != sorted_[:-1]))[0]
+        rows, summed = sorted_[firsts], np.add.reduceat(gradient[order], firsts, axis=0)
         square[rows] += summed * summed
         value[rows] -= how.rate * summed / np.sqrt(square[rows])
 
-    for _ in range(how.epochs):
-        order = draw.permutation(len(events))
-        for start in range(0, len(order), how.batch):
-            code = events[order[start : start + how.batch]]
-            w = code % (CLASSES + 1)
-            near, far = code // (CLASSES + 1) % (CLASSES + 1), code // (CLASSES + 1) ** 2
-            noise = np.minimum(np.searchsorted(cumulative, draw.random(how.noise)), CLASSES - 1)
-            h = model.context(far, near)
-            true = sigmoid((h * model.after[w]).sum(1) + model.bias[w] - log_noise[w]) - 1
-            false = sigmoid(h @ model.after[noise].T + model.bias[noise] - log_noise[noise])
-            size = np.float32(1 / len(code))
-            true, false = true * size, false * size
-            dh = true[:, None] * model.after[w] + false @ model.after[noise]
-            pull, push = true[:, None] * h, false.T @ h
-            d_near, d_far = dh * model.near, dh * model.far
-            gradients = (dh * model.before[near]).sum(0), (dh * model.before[far]).sum(0)
-            step("after", np.concatenate([pull, push]), np.concatenate([w, noise]))
-            step("bias", np.concatenate([true, false.sum(0)]), np.concatenate([w, noise]))
-            step("before", np.concatenate([d_near, d_far]), np.concatenate([near, far]))
-            step("near", gradients[0])
-            step("far", gradients[1])
+    order = draw.permutation(len(events))
+    for start in range(0, len(order), how.batch):
+        chosen = order[start : start + how.batch]
+        code, size = events[chosen], weights[chosen] / len(chosen)
+        w = code % (CLASSES + 1)
+        near, far = code // (CLASSES + 1) % (CLASSES + 1), code // (CLASSES + 1) ** 2
+        noise = np.minimum(np.searchsorted(cumulative, draw.random(how.noise)), CLASSES - 1)
+        h = model.context(far, near)
+        true = (sigmoid((h * model.after[w]).sum(1) + model.bias[w] - log_noise[w]) - 1) * size
+        false = sigmoid(h @ model.after[noise].T + model.bias[noise] - log_noise[noise]) * size[:, None]
+        dh = true[:, None] * model.after[w] + false @ model.after[noise]
+        pull, push = true[:, None] * h, false.T @ h
+        d_near, d_far = dh * model.near, dh * model.far
+        gradients = (dh * model.before[near]).sum(0), (dh * model.before[far]).sum(0)
+        step("after", np.concatenate([pull, push]), np.concatenate([w, noise]))
+        step("bias", np.concatenate([true, false.sum(0)]), np.concatenate([w, noise]))
+        step("before", np.concatenate([d_near, d_far]), np.concatenate([near, far]))
+        step("near", gradients[0])
+        step("far", gradients[1])
+
+
+_AVERAGED = 64
+
+
+def _averaged(models: DataFrame) -> np.ndarray:
+    """The mean of (weight, values) rows; the driver gets at most _AVERAGED of them, however many tasks there were."""
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, total = 0.0, 0.0
+        for batch in batches:
+            for w, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                weight, total = weight + w, total + w * np.frombuffer(blob.as_py())
+        if weight:
+            yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([(total / weight).tobytes()], pa.binary())], names=["weight", "model"])
+
+    rows = stage(models, "models")
+    while (n := rows.count()) > _AVERAGED:
+        rows = stage(rows.repartition(-(-n // _AVERAGED)).mapInArrow(mean, "weight double, model binary"), "models")
+    found = rows.collect()
+    return sum(r.weight * np.frombuffer(r.model) for r in found) / sum(r.weight for r in found) if found else np.zeros(0)
+
+
+def fit_classes(events: DataFrame, unigram: np.ndarray, how: Training) -> LogBilinear:
+    """The class model from the table of all class trigrams, every one of which trains with its count."""
+    model = LogBilinear(how, unigram)
+    tasks = max(1, -(-events.count() // how.share))
+    hashed = events.select("code", "n", F.pmod(F.xxhash64("code", F.lit(how.seed)), F.lit(1 << 40)).alias("h"))
+    parts = hashed.select("code", "n", (F.col("h") % tasks).alias("task"), (F.floor(F.col("h") / tasks) % how.rounds).alias("round"))
+    parts = stage(parts.repartition(tasks, "task"), "parts")
+    for number in range(how.rounds):
+        shared = parts.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # 1 MB
+
+        def run(batches: Iterator[pa.RecordBatch], number: int = number, shared=shared) -> Iterator[pa.RecordBatch]:  # type: ignore[no-untyped-def]
+            got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
+            codes, n, task = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.int64),) * 3
+            for k in np.unique(task):  # tasks that met in one partition train apart, so the result doesn't depend on that
+                own = pickle.loads(shared.value)
+                at = np.nonzero(task == k)[0]
+                at = at[np.argsort(codes[at])]
+                train_nce(own, codes[at], n[at], how, int(k) * how.rounds + number)
+                yield pa.RecordBatch.from_arrays([pa.array([float(n[at].sum())]), pa.array([own.packed().tobytes()], pa.binary())], names=["weight", "model"])
+
+        of_round = parts.where(F.col("round") == number).select("code", "n", "task")
+        mean = _averaged(of_round.repartition(tasks, "task").mapInArrow(run, "weight double, model binary"))
+        if len(mean):
+            model.unpack(mean)
     return model
 
 
-def fit_classes(events: DataFrame, how: Training) -> LogBilinear:
-    """The class model from the table of all class trigrams."""
-    total = events.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    share = min(1.0, how.events / max(total, 1))
-    chance = F.pmod(F.xxhash64("code", F.lit(how.seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = events.select("code", F.floor(F.col("n") * share + chance).alias("n")).where("n > 0")  # about how.events in all
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        codes, n = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.int64),) * 2
-        order = np.argsort(codes)  # however the rows were dealt
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train_nce(codes[order], n[order], how))], pa.binary())], names=["model"])
-
-    return pickle.loads(drawn.repartition(1).mapInArrow(run, "model binary").first()["model"])  # 0.1 MB
-
-
 @dataclass
 class Model:
     """What scoring needs: words (the classes of their own), hot (word -> count), bucket totals, all tokens and distinct ones."""
@@ -251,7 +342,7 @@ class Model:
 
 
 def _hot_least(counts: DataFrame) -> int:
-    """The least count such that at most HOT_WORDS words have it or a greater one, by a histogram of the counts."""
+    """Of short enough words, the least count such that at most HOT_WORDS words have it or a greater one, by a histogram of the counts."""
     step = 16  # to a doubling
     bins = counts.groupBy(F.floor(F.log2("n") * step).alias("bin")).agg(F.count("*").alias("words"), F.min("n").alias("least"))
     least, words = None, 0
@@ -263,56 +354,87 @@ def _hot_least(counts: DataFrame) -> int:
     return 1 << 62 if least is None else least
 
 
+def _can_be_hot() -> Column:
+    return F.octet_length("word") <= HOT_BYTES
+
+
 def fit(docs: DataFrame, how: Training = Training()) -> tuple[Model, DataFrame]:
     """The model from all rows of ``docs`` (text), and the table (word, n) of all counts."""
     counts = stage(word_counts(docs), "words")
     of = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count_if(F.col("n") > 0).alias("distinct")).first()
-    least = _hot_least(counts.where("n > 0"))
-    hot = {r.word: r.n for r in counts.where(F.col("n") >= max(least, 1)).collect()}  # at most HOT_WORDS
+    least = max(_hot_least(counts.where(F.col("n") > 0).where(_can_be_hot())), 1)
+    hot = {r.word: r.n for r in counts.where(F.col("n") >= least).where(_can_be_hot()).collect()}  # at most HOT_WORDS of HOT_BYTES
     words = sorted((w for w in hot if w != _END_WORD), key=lambda w: (-hot[w], w))[:WORDS]
-    mass = np.full(BUCKETS, 0.5)
-    rest = counts.where(F.col("n") > 0).where(~F.col("word").isin([*words, _END_WORD]))
-    for r in rest.groupBy(bucket_column(F.col("word")).alias("k")).agg(F.sum(F.col("n") + 0.5).alias("mass")).collect():
+    mass, unigram = np.full(BUCKETS, 0.5), np.full(CLASSES, 0.5)
+    unigram[: len(words)] += [hot[w] for w in words]
+    unigram[END] += hot.get(_END_WORD, 0)
+    rest = counts.where(F.col("n") > 0).join(F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in [*words, _END_WORD]], "word string")), "word", "left_anti")  # WORDS rows
+    for r in rest.groupBy(bucket_column(F.col("word")).alias("k")).agg(F.sum(F.col("n") + 0.5).alias("mass"), F.sum("n").alias("n")).collect():  # BUCKETS rows
         mass[r.k - WORDS] += r.mass
+        unigram[r.k] += r.n
     events = stage(class_events(docs, words), "events")
-    return Model(fit_classes(events, how), words, hot, max(least, 1), mass, of.tokens, of.distinct), counts
+    return Model(fit_classes(events, unigram, how), words, hot, least, mass, of.tokens, of.distinct), counts
 
 
 class _Scorer:
     def __init__(self, model: Model):
         self.model, self.known = model.classes, _Classes(model.words)
-        self.norm = self.model.normalisers()
+        self.norm = np.full((CLASSES + 1) ** 2, np.nan, np.float32)
         denominator = model.tokens + 0.5 * (model.distinct + 1)
-        self.base = {w.encode(): math.log10((n + 0.5) / denominator) for w, n in model.hot.items()}
         self.rest = math.log10(denominator)
-        log_mass = np.log10(model.bucket_mass)
+        self.mass = np.log10(model.bucket_mass).tolist()
         own = {w.encode() for w in model.words} | {b""}
-        self.inside = {w.encode(): 0.0 if w.encode() in own else math.log10(n + 0.5) - log_mass[bucket(w) - WORDS] for w, n in model.hot.items()}
-        self.mass = log_mass
-
-    def score(self, texts: list[bytes]) -> tuple[list, list, list, list, list]:
-        """Per text: tokens, known ones, base score and model score without the counts of rare words, and the rare words."""
-        words = [t.lower().split() + [b""] for t in texts]
-        classes = [[*map(self.known.__getitem__, w[:-1]), END] for w in words]
-        far, near, target = _contexts(classes)
-        logits = np.empty(len(target), np.float32)
-        for k in range(0, len(target), 1 << 16):
-            part = slice(k, k + (1 << 16))
-            logits[part] = np.einsum("ij,ij->i", self.model.context(far[part], near[part]), self.model.after[target[part]])
-        logs = (logits + self.model.bias[target] - self.norm[far, near]).astype(np.float64) / math.log(10)
-        ends = np.cumsum([len(w) for w in words])
-        by_class = np.add.reduceat(logs, np.concatenate([[0], ends[:-1]]))
-        sizes, known, base, score, rare = [], [], [], [], []
-        for w, own, s in zip(words, classes, by_class):
-            here = [self.base.get(x) for x in w]
-            missing = [k for k, b in enumerate(here) if b is None]
-            sizes.append(len(w))
-            known.append(len(w) - len(missing))
-            base.append(math.fsum(b for b in here if b is not None) - self.rest * len(missing))
-            inside = math.fsum(self.inside[x] for x, b in zip(w, here) if b is not None)
-            score.append(s + inside - sum(self.mass[own[k] - WORDS] for k in missing if own[k] != END))
-            rare.append([w[k].decode() for k in missing])
-        return sizes, known, base, score, rare
+        inside = lambda w, n: 0.0 if w in own else math.log10(n + 0.5) - self.mass[bucket(w.decode()) - WORDS]
+        self.hot = {w: (math.log10((n + 0.5) / denominator), inside(w, n)) for x, n in model.hot.items() for w in [x.encode()]}
+
+    def log_classes(self, runs: list[list[int]]) -> np.ndarray:
+        """The natural log of each token's class probability."""
+        far, near, target = _contexts(runs)
+        pair = far * (CLASSES + 1) + near
+        new = np.unique(pair[np.isnan(self.norm[pair])])
+        self.norm[new] = self.model.normalisers(new // (CLASSES + 1), new % (CLASSES + 1))
+        logits = np.einsum("ij,ij->i", self.model.context(far, near), self.model.after[target])
+        return (logits + self.model.bias[target] - self.norm[pair]).astype(np.float64)
+
+    def score(self, texts: list[bytes]) -> tuple[list, list, list, list, list, list]:
+        """Per text: tokens, known ones, base score and model score without the counts of rare words, these words and their counts."""
+        n = len(texts)
+        sizes, known, base, score = [0] * n, [0] * n, [0.0] * n, np.zeros(n)
+        rare: list[Counter] = [Counter() for _ in texts]
+        runs, owners, waiting = [], [], 0
+
+        def flush() -> None:
+            logs = self.log_classes(runs)
+            np.add.at(score, np.repeat(owners, [len(own) - 2 for own in runs]), logs / math.log(10))
+            runs.clear(), owners.clear()
+
+        for i, text in enumerate(texts):
+            seen: Counter = Counter((b"",))  # the end
+            for words, own in _runs_of_classes(text, self.known):
+                seen.update(words)
+                runs.append(own)
+                owners.append(i)
+                waiting += len(own)
+                if waiting > _SCORED_TOKENS:
+                    flush()
+                    waiting = 0
+            terms, inner = [], []
+            for w, times in seen.items():
+                sizes[i] += times
+                got = self.hot.get(w)
+                if got is None:
+                    rare[i][w] = times
+                    terms.append(-times * self.rest)
+                    inner.append(-times * self.mass[self.known[w] - WORDS] if w else 0.0)
+                else:
+                    known[i] += times
+                    terms.append(times * got[0])
+                    inner.append(times * got[1])
+            base[i] = math.fsum(terms)
+            score[i] += math.fsum(inner)
+        if runs:
+            flush()
+        return sizes, known, base, score.tolist(), [[w.decode() for w in own] for own in rare], [list(own.values()) for own in rare]
 
 
 _scorers: dict[str, _Scorer] = {}
@@ -332,17 +454,18 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
             _scorers.clear()
             _scorers[key] = _Scorer(pickle.loads(shared.value))
         for batch, texts in slices(batches, "text"):
-            sizes, known, base, scores, rare = _scorers[key].score(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(rare, pa.list_(pa.string()))], names=["id", "n_tokens", "known", "base", "model", "rare"])
+            names = ["n_tokens", "known", "base", "model", "rare", "times"]
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, _scorers[key].score(texts), kinds)], names=["id", *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.mapInArrow(run, f"id {kind}, n_tokens long, known long, base double, model double, rare array<string>")
+    rows = rows.mapInArrow(run, f"id {kind}, n_tokens long, known long, base double, model double, rare array<string>, times array<long>")
     rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "scored")  # written once, so the numbers stay
-    asked = rows.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
-    seen = counts.where((F.col("n") > 0) & (F.col("n") < model.hot_least))
+    asked = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    seen = counts.where(F.col("n") > 0).where((F.col("n") < model.hot_least) | ~_can_be_hot())
     met = asked.join(seen, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("met"))
-    out = rows.drop("rare").join(met, "row", "left").withColumn("more", F.coalesce("more", F.lit(0.0)))
+    out = rows.drop("rare", "times").join(met, "row", "left").withColumn("more", F.coalesce("more", F.lit(0.0)))
     return out.select(F.col("id").alias(id_col), "n_tokens", (F.col("known") + F.coalesce("met", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") + F.col("more")).alias("base_score"), (F.col("model") + F.col("more")).alias("score"))
 
 
@@ -351,7 +474,9 @@ def score_documents(docs: DataFrame, how: Training = Training()) -> DataFrame:
 
     Nulls: a null text is an empty one, a null id is in no fold and so learned
     from.  Without training rows every word is unseen.  Repeated rows count and
-    stay, an empty table gives an empty result, other columns are not read.
+    stay, an empty table gives an empty result, other columns are not read.  A
+    text of any length is scored whole, run by run, and a word of any length is
+    a word: a long one meets its count in the join.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     model, counts = fit(rows.where(~held_out(F.col("doc_id"), 1)), how)

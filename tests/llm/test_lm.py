@@ -22,25 +22,72 @@ def tokens(text):
 def test_class_distribution_is_normalised():
     draw = np.random.default_rng(1)
     codes = draw.integers(0, lm.CLASSES, 500) + (lm.CLASSES + 1) * draw.integers(0, lm.CLASSES + 1, 500) + (lm.CLASSES + 1) ** 2 * draw.integers(0, lm.CLASSES + 1, 500)
-    model = lm.train_nce(np.unique(codes), np.ones(len(np.unique(codes)), int), lm.Training(events=500))
-    norm = model.normalisers()
+    model = trained(np.unique(codes), np.ones(len(np.unique(codes)), int), lm.Training())
     for far, near in ((3, 5), (lm.BEGIN, lm.BEGIN), (lm.END, 0)):
-        logits = model.context(np.array([far]), np.array([near])) @ model.after.T + model.bias - norm[far, near]
+        far, near = np.array([far]), np.array([near])
+        logits = model.context(far, near) @ model.after.T + model.bias - model.normalisers(far, near)
         assert np.exp(logits.astype(float)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def trained(codes, counts, how):
+    model = lm.LogBilinear(how, np.bincount(codes % (lm.CLASSES + 1), counts, minlength=lm.CLASSES) + 0.5)
+    lm.train_nce(model, codes, counts, how, 0)
+    return model
+
+
 def test_training_learns_a_dependence():
     m = lm.CLASSES + 1
     codes = np.array([(1 * m + 2) * m + 3, (1 * m + 4) * m + 5])
-    model = lm.train_nce(codes, np.array([20000, 20000]), lm.Training())
-    norm = model.normalisers()
+    model = trained(codes, np.array([20000, 20000]), lm.Training(weight=1.0))
 
     def p(w, near):
-        return math.exp(float((model.context(np.array([1]), np.array([near])) @ model.after[w])[0] + model.bias[w] - norm[1, near]))
+        far, near = np.array([1]), np.array([near])
+        return math.exp(float((model.context(far, near) @ model.after[w])[0] + model.bias[w] - model.normalisers(far, near)[0]))
 
     assert p(3, 2) > 0.8 and p(5, 4) > 0.8 and p(3, 4) < 0.2
 
 
+def test_parameters_survive_packing():
+    model = trained(np.array([5, 9]), np.array([3, 4]), lm.Training())
+    other = lm.LogBilinear(lm.Training(seed=1), np.ones(lm.CLASSES))
+    other.unpack(model.packed())
+    assert all((getattr(model, k) == getattr(other, k)).all() and (model.squares[k] == other.squares[k]).all() for k in model.NAMES)
+
+
+def test_every_trigram_trains_and_averages_are_weighted(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + k * k) % 90}" for k in range(60))) for i in range(200)], "doc_id long, text string")
+    events = lm.class_events(docs, [f"w{i}" for i in range(90)])
+    assert events.agg({"n": "sum"}).first()[0] == 200 * 61
+    seen = []
+    averaged = lm._averaged
+
+    def spy(models):
+        rows = models.collect()
+        seen.append((len(rows), sum(r.weight for r in rows)))
+        return averaged(models)
+
+    monkeypatch.setattr(lm, "_averaged", spy)
+    monkeypatch.setattr(lm, "_AVERAGED", 3)  # more tasks than are averaged at once
+    how = lm.Training(share=50, rounds=2)
+    a = lm.fit_classes(events, np.ones(lm.CLASSES), how)
+    assert len(seen) == 2 and seen[0][0] > 9 and sum(n for _, n in seen) == 200 * 61
+    b = lm.fit_classes(events.repartition(5), np.ones(lm.CLASSES), how)
+    assert np.allclose(a.after, b.after, atol=1e-5)
+
+
+def test_long_texts_and_long_words_score_as_they_would_whole(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * 7 + k * k) % 90}" for k in range(90)) + (" " + "y" * 200) * (i % 3) + " \n") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id: r for r in lm.score_documents(docs).collect()}
+    monkeypatch.setattr(lm, "_RUN_BYTES", 50)
+    monkeypatch.setattr(lm, "_SCORED_TOKENS", 30)
+    monkeypatch.setattr(lm, "HOT_BYTES", 1000)  # then the long word is hot
+    got = {r.doc_id: r for r in lm.score_documents(docs).collect()}
+    for i, r in want.items():
+        assert tuple(r)[:5] == tuple(got[i])[:5] and got[i].base_score == pytest.approx(r.base_score, abs=1e-9)
+    assert list(lm.word_runs(b" A b  c" * 40)) != [[b"a"]] and [w for run in lm.word_runs(b" A b  c" * 40) for w in run] == [b"a", b"b", b"c"] * 40
+
+
 @pytest.mark.parametrize("hot", [200_000, 60])
 def test_documents_against_plain_counts(spark, sf, monkeypatch, hot):
     monkeypatch.setattr(lm, "HOT_WORDS", hot)  # with few, most words meet their counts in the join
