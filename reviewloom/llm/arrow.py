@@ -8,6 +8,7 @@ import pyarrow as pa
 
 SLICE_ROWS = 512
 SLICE_BYTES = 2 << 20
+LONG_WORD, LONG_TEXT = 64, 1 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -43,21 +44,22 @@ def chunks(texts: list, most_bytes: int = 1 << 20) -> Iterator[list[bytes]]:
 
 
 class Memo(dict):
-    """Values made once per key, of bounded number: what was used since the last turnover outlives it.
+    """Values made once per key, of bounded number and, with ``longest``, size: what was used since the last turnover outlives it.
 
     Texts bring new words forever, so a task that remembers them needs a bound;
     common words are asked for again before two turnovers and stay.
     """
 
-    def __init__(self, make: Callable, most: int):
+    def __init__(self, make: Callable, most: int, longest: int | None = None):
         super().__init__()
-        self.make, self.most, self.old = make, most // 2, {}
+        self.make, self.most, self.longest, self.old = make, most // 2, longest, {}
 
     def __missing__(self, key: Hashable):  # type: ignore[no-untyped-def]
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        self.keep(key, value)
+        if self.longest is None or len(key) <= self.longest:
+            self.keep(key, value)
         return value
 
     def keep(self, key: Hashable, value) -> None:  # type: ignore[no-untyped-def]

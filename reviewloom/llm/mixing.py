@@ -5,7 +5,7 @@ alike) and 1 (as they are) and normalised.  The exponent is bisected to the
 largest whose weights still have the target entropy, or to the smallest that
 repeats no source more often than allowed within the budget.  Weights become
 token quotas, and each quota is realised by block permutations: a source's
-documents are dealt to blocks by a hash of their ids, one order of the blocks
+documents are dealt to blocks by a hash of their ids and texts, one order of the blocks
 is drawn for each source and kept in all its epochs, whole epochs are used
 while the quota holds out, and of the last epoch the leading blocks, with the
 last of them cut at the budget.
@@ -55,6 +55,11 @@ def _hash(*parts: Column) -> Column:
     return F.conv(F.left(F.md5(text.cast("binary")), F.lit(15)), 16, 10).cast("long")
 
 
+def _row_hash(seed: int, id: Column, text: Column) -> Column:
+    """Texts count too, so that rows without an id, or of one id, don't all meet in one block."""
+    return _hash(F.lit(seed), id, F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
 def source_key(source: Column) -> Column:
     """Rows without a source form one of their own, apart from any name."""
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
@@ -98,7 +103,7 @@ def plan(docs: DataFrame, target: Target, id_col: str = "doc_id", text_col: str
     "cut" or "none" in the last epoch), cut_hash and cut_id (the last document
     used of a cut block).
     """
-    rows = stage(docs.select(source_key(F.col(source_col)).alias("key"), F.col(id_col).cast("string").alias("id"), _hash(F.lit(target.seed), F.col(id_col)).alias("hash"), count_words(F.col(text_col)).alias("n")), "counted")
+    rows = stage(docs.select(source_key(F.col(source_col)).alias("key"), F.col(id_col).cast("string").alias("id"), _row_hash(target.seed, F.col(id_col), F.col(text_col)).alias("hash"), count_words(F.col(text_col)).alias("n")), "counted")
     totals = stage(rows.groupBy("key").agg(F.sum("n").alias("tokens")).where("tokens > 0"), "totals")
     total = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
     budget = total if target.budget is None else target.budget
@@ -126,15 +131,15 @@ def mixture(docs: DataFrame, target: Target = Target(), id_col: str = "doc_id",
     blocks, the same in every epoch.  The two
     columns get other names if ``docs`` has them (see ``fresh_name``).  A source
     without words is in no mixture.  Nulls: a null source is a source of its
-    own; a null text has no words and goes with its block; null ids share one
-    block.  Rows that repeat an id share its place, and a cut keeps them all or
-    none.  An empty table gives an empty mixture.
+    own; a null text has no words and goes with its block; rows with null ids are
+    dealt by their texts.  Rows that repeat both id and text share a place, and
+    a cut keeps them all or none.  An empty table gives an empty mixture.
     """
     sources, blocks = plan(docs, target, id_col, text_col, source_col)
     names = [fresh_name(docs, x) for x in ("mix_key", "mix_block", "mix_hash", "mix_copies", "mix_used")]
     key, block, digest, copies, used = names
     epoch, place = fresh_name(docs, "epoch"), fresh_name(docs, "place")
-    rows = docs.withColumn(key, source_key(F.col(source_col))).withColumn(digest, _hash(F.lit(target.seed), F.col(id_col)))
+    rows = docs.withColumn(key, source_key(F.col(source_col))).withColumn(digest, _row_hash(target.seed, F.col(id_col), F.col(text_col)))
     s = sources.select(F.col("key").alias(key), F.col("n_blocks").alias(block), F.col("epochs").alias(copies))
     rows = rows.join(s, key).withColumn(block, F.col(digest) % F.col(block))
     b = blocks.select(F.col("key").alias(key), F.col("block").alias(block), F.col("place").alias(place), F.struct("used", "cut_hash", "cut_id").alias(used))
@@ -152,9 +157,9 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH RECURSIVE rows AS (SELECT doc_id, source, coalesce('=' || source, 'null') AS key, coalesce(CAST(doc_id AS VARCHAR), 'null') AS hashed, CAST(doc_id AS VARCHAR) AS id,
+WITH RECURSIVE rows AS (SELECT doc_id, source, coalesce('=' || source, 'null') AS key, coalesce(CAST(doc_id AS VARCHAR), 'null') AS hashed, CAST(doc_id AS VARCHAR) AS id, md5(coalesce(text, '')) AS text_md5,
     CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda w: w <> '')) AS BIGINT) AS n FROM documents),
-docs AS (SELECT *, CAST('0x' || left(md5('42:' || hashed), 15) AS BIGINT) AS hash FROM rows),
+docs AS (SELECT *, CAST('0x' || left(md5('42:' || hashed || ':' || text_md5), 15) AS BIGINT) AS hash FROM rows),
 totals AS (SELECT key, CAST(sum(n) AS BIGINT) AS tokens FROM docs GROUP BY key HAVING sum(n) > 0),
 shares AS (SELECT key, tokens, (SELECT CAST(sum(tokens) AS BIGINT) FROM totals) AS total, ln(tokens / (SELECT CAST(sum(tokens) AS DOUBLE) FROM totals)) AS l FROM totals),
 goal AS (SELECT 0.95 * ln(count(*)) AS least FROM totals),

@@ -28,20 +28,22 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm.arrow import Memo, chunks, slices
-from reviewloom.llm.quality import held_out, sample
+from reviewloom.llm.arrow import LONG_TEXT, LONG_WORD, Memo, chunks, slices
+from reviewloom.llm.quality import held_out, labelled
 from reviewloom.staging import fresh_name, stage, table
 
 #: Common insults and second-person pronouns of four languages.
 INSULTS = set("idiot idiots moron morons stupid dumb fool loser losers scum trash garbage pathetic worthless disgusting clown jerk crap hate shut ugly filth".split()) | set("dumm trottel depp abschaum müll wertlos erbärmlich ekelhaft hasse hässlich versager blöd".split()) | set("imbécile crétin débile ordure nul minable dégoûtant connard stupide déteste".split()) | set("idiota imbécil estúpido basura inútil patético asqueroso payaso odio perdedor escoria".split())
 SECOND_PERSON = set("you your yours yourself u ur du dich dir dein deine euch euer tu te toi ton tes vous votre vos tú ti usted ustedes vosotros".split())
 _LEET = str.maketrans("013457@$*", "oieastasi")
-_WORD = re.compile(r"\w(?:[\w@$*]*\w)?").findall
+_WORDS = re.compile(r"\w(?:[\w@$*]*\w)?")
+_WORD = _WORDS.findall
 _PREFIXES = (4, 5, 7)
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 NAMES = ["log_words", "fixed_density", "fixed_count", "strong_density", "strong_count", "weak_density", "weak_count", "weight_density", "weight_most", "near_density", "near_count", "second_density", "capitals", "shouted", "exclaimed", "asked", "punctuation", "repeated", "obfuscated", "spelled_out", "long_words"]
 _NEAR = 3
+_BLOCK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -78,7 +80,7 @@ def lexicon(rows: DataFrame, how: Training = Training()) -> dict[str, float]:
         toxic, clean = Counter(), Counter()
         for batch, texts in slices(batches, "text"):
             for y, text in zip(batch.column(0).to_pylist(), texts):
-                words = {_plain(w)[0] for w in _WORD(text.decode())}
+                words = {_plain(m[0])[0] for m in _WORDS.finditer(text.decode())}
                 (toxic if y else clean).update({t for w in words for t in _terms(w)})
         terms = list(toxic)  # a term of clean texts alone is never chosen
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([toxic[t] for t in terms], pa.int64()), pa.array([0] * len(terms), pa.int64())], names=["term", "toxic", "clean"])
@@ -105,7 +107,7 @@ class _Words(Memo):
     FIXED, STRONG, WEAK, SECOND, SHOUTED, OBFUSCATED, SINGLE, LONG = (1 << k for k in range(8))
 
     def __init__(self, learned: dict[str, float]):
-        super().__init__(self.described, 120_000)
+        super().__init__(self.described, 120_000, LONG_WORD)
         self.learned = learned
 
     def described(self, word: str) -> int:
@@ -117,9 +119,22 @@ class _Words(Memo):
         return int(weight * 1000) << 8 | flags
 
 
+def _signs(text: bytes) -> np.ndarray:
+    """How many bytes of a text are capitals, exclamation marks, question marks, punctuation, and punctuation that repeats the byte before; by blocks."""
+    counts, before = np.zeros(5, np.int64), 0
+    for start in range(0, len(text), _BLOCK):
+        raw = np.frombuffer(text, np.uint8, min(_BLOCK, len(text) - start), start)
+        sign = _PUNCTUATION[raw]
+        same = np.append(raw[0] == before, raw[1:] == raw[:-1])
+        counts += [((raw > 64) & (raw < 91)).sum(), (raw == 33).sum(), (raw == 63).sum(), sign.sum(), (sign & same).sum()]
+        before = raw[-1]
+    return counts
+
+
 def dense(text: bytes, words: _Words) -> np.ndarray:
     """The features NAMES of one text."""
-    codes = np.array([words[w] for w in _WORD(text.decode())], np.int64)
+    decoded = text.decode()
+    codes = np.fromiter((words[m[0]] for m in _WORDS.finditer(decoded)), np.int64) if len(text) > LONG_TEXT else np.array([words[w] for w in _WORD(decoded)], np.int64)
     n, size = max(len(codes), 1), max(len(text), 1)
     has = lambda flag: codes & flag != 0
     fixed, strong, weak, second = has(words.FIXED), has(words.STRONG), has(words.WEAK), has(words.SECOND)
@@ -129,14 +144,13 @@ def dense(text: bytes, words: _Words) -> np.ndarray:
     for k in range(1, _NEAR + 1):
         near[k:] |= second[:-k]
         near[:-k] |= second[k:]
-    raw = np.frombuffer(text, np.uint8)
-    sign = _PUNCTUATION[raw]
     single = has(words.SINGLE)
     run = single[2:] & single[1:-1] & single[:-2]
     counts = [fixed.sum(), strong.sum(), weak.sum(), (hit & near).sum()]
+    capitals, exclaimed, asked, signs, repeated = _signs(text) / size
     return np.array(
         [math.log1p(len(codes)), counts[0] / n, counts[0], counts[1] / n, counts[1], counts[2] / n, counts[2], weight.sum() / n, weight.max(initial=0), counts[3] / n, counts[3], second.sum() / n]
-        + [((raw > 64) & (raw < 91)).sum() / size, has(words.SHOUTED).sum() / n, (raw == 33).sum() / size, (raw == 63).sum() / size, sign.sum() / size, (sign[1:] & (raw[1:] == raw[:-1])).sum() / size, has(words.OBFUSCATED).sum() / n, run.sum() / n, has(words.LONG).sum() / n]
+        + [capitals, has(words.SHOUTED).sum() / n, exclaimed, asked, signs, repeated, has(words.OBFUSCATED).sum() / n, run.sum() / n, has(words.LONG).sum() / n]
     )
 
 
@@ -163,10 +177,8 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Model:
     """A model from the labelled rows outside the held-out fold; with rows of one class only, or none, it is that class's constant."""
-    chosen = sample(labels, "toxic", how.max_rows, how.seed)
     fold = F.pmod(F.xxhash64("doc_id", F.lit(how.seed + 1)), F.lit(20))
-    joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most about max_rows
-    rows = stage(joined.select("y", "text", fold.alias("fold")), "labelled")
+    rows = stage(labelled(docs, labels, "toxic", how.max_rows, how.seed).select("y", "text", fold.alias("fold")), "labelled")
     of = rows.agg(F.sum("y").alias("t"), F.count("y").alias("n")).first()
     if not of.n or not of.t or of.t == of.n:
         return Model({}, None, None, 0.5 if not of.n else float(of.t > 0))
@@ -204,8 +216,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, how: Tr
     """(doc_id, held_out, score, predicted) of every row of ``docs``, by a model trained on the labelled rows outside the held-out fold.
 
     Nulls: a null text is an empty one; a null id is not held out and never
-    learned from.  Repeated rows stay; empty documents or labels work.  Inputs
-    of a score are the text alone.
+    learned from.  Repeated rows stay; a labelled id with several texts is
+    learned from each, within max_rows.  Empty documents or labels work.  A
+    text of any length is scored whole.  Inputs of a score are the text alone.
     """
     scored = score(docs.select("doc_id", "text"), train(docs, labels, how))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -64,6 +64,14 @@ def test_a_small_budget_cuts_the_last_block(spark):
     assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, again.collect()))
 
 
+def test_rows_without_ids_are_dealt_to_many_blocks(spark):
+    df = spark.createDataFrame([(None if i % 2 else 7, f"w {i} " * 10, "s") for i in range(600)], "doc_id long, text string, source string")
+    _, blocks = mixing.plan(df, Target(block_tokens=500))
+    assert blocks.count() == 24
+    placed = mixing.mixture(df, Target(block_tokens=500)).groupBy("place").count().collect()
+    assert len(placed) == 24 and max(r["count"] for r in placed) < 60
+
+
 def test_exponents(spark):
     totals = spark.createDataFrame([("a", 900), ("b", 90), ("c", 10)], "key string, tokens long")
     share = [0.9, 0.09, 0.01]
@@ -85,7 +93,8 @@ def test_edge_cases(spark):
     docs = edge.table(spark)
     got = mixing.mixture(docs)
     assert got.columns == [*docs.columns, "epoch_1", "place_1"]  # the table has columns of those names
-    assert len({r.source for r in got.collect()}) == 3
+    rows = got.collect()  # the long text fits in no quota, and a cut stops at the first row that doesn't fit
+    assert {"src0", "src1"} <= {r.source for r in rows} <= {None, "src0", "src1"} and used(got.fillna("", ["text"])).keys()
     assert mixing.mixture(edge.empty(spark)).count() == 0
     silent = docs.where("text IS NULL OR trim(text) = ''")
     assert mixing.mixture(silent).count() == 0
