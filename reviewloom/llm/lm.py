@@ -33,6 +33,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +44,13 @@ from reviewloom.llm.arrow import slices
 from reviewloom.llm.quality import held_out
 from reviewloom.staging import stage, table
 
-WORDS, BUCKETS = 1023, 64
+WORDS, BUCKETS = 511, 64
 END = WORDS + BUCKETS  # the class of the end
 BEGIN = END + 1  # stands before a text, as a context only
 CLASSES = END + 1
 HOT_WORDS, HOT_BYTES = 200_000, 64
 _FLUSH_WORDS = 300_000
-_FLUSH_EVENTS = 4_000_000
+_FLUSH_EVENTS = 2_000_000
 _SCORED_TOKENS = 1 << 18
 _END_WORD = ""  # no word is empty
 _RUN_BYTES = 1 << 20
@@ -207,7 +208,7 @@ class LogBilinear:
         self.squares = {k: np.full_like(getattr(self, k), 1e-3) for k in self.NAMES}
 
     def packed(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for k in self.NAMES for x in (getattr(self, k), self.squares[k])]).astype(np.float64)
+        return np.concatenate([x.ravel() for k in self.NAMES for x in (getattr(self, k), self.squares[k])])
 
     def unpack(self, values: np.ndarray) -> None:
         at = 0
@@ -280,7 +281,7 @@ def train_nce(model: LogBilinear, codes: np.ndarray, counts: np.ndarray, how: Tr
         step("far", gradients[1])
 
 
-_AVERAGED = 64
+_AVERAGED = 8
 
 
 def _averaged(models: DataFrame) -> np.ndarray:
@@ -290,15 +291,15 @@ def _averaged(models: DataFrame) -> np.ndarray:
         weight, total = 0.0, 0.0
         for batch in batches:
             for w, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                weight, total = weight + w, total + w * np.frombuffer(blob.as_py())
+                weight, total = weight + w, total + w * np.frombuffer(blob.as_py(), np.float32).astype(np.float64)
         if weight:
-            yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([(total / weight).tobytes()], pa.binary())], names=["weight", "model"])
+            yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], names=["weight", "model"])
 
     rows = stage(models, "models")
     while (n := rows.count()) > _AVERAGED:
         rows = stage(rows.repartition(-(-n // _AVERAGED)).mapInArrow(mean, "weight double, model binary"), "models")
     found = rows.collect()
-    return sum(r.weight * np.frombuffer(r.model) for r in found) / sum(r.weight for r in found) if found else np.zeros(0)
+    return sum(r.weight * np.frombuffer(r.model, np.float32).astype(np.float64) for r in found) / sum(r.weight for r in found) if found else np.zeros(0)
 
 
 def fit_classes(events: DataFrame, unigram: np.ndarray, how: Training) -> LogBilinear:
@@ -309,7 +310,7 @@ def fit_classes(events: DataFrame, unigram: np.ndarray, how: Training) -> LogBil
     parts = hashed.select("code", "n", (F.col("h") % tasks).alias("task"), (F.floor(F.col("h") / tasks) % how.rounds).alias("round"))
     parts = stage(parts.repartition(tasks, "task"), "parts")
     for number in range(how.rounds):
-        shared = parts.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # 1 MB
+        shared = parts.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # 0.3 MB
 
         def run(batches: Iterator[pa.RecordBatch], number: int = number, shared=shared) -> Iterator[pa.RecordBatch]:  # type: ignore[no-untyped-def]
             got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
@@ -384,8 +385,13 @@ class _Scorer:
         self.rest = math.log10(denominator)
         self.mass = np.log10(model.bucket_mass).tolist()
         own = {w.encode() for w in model.words} | {b""}
-        inside = lambda w, n: 0.0 if w in own else math.log10(n + 0.5) - self.mass[bucket(w.decode()) - WORDS]
-        self.hot = {w: (math.log10((n + 0.5) / denominator), inside(w, n)) for x, n in model.hot.items() for w in [x.encode()]}
+        words = [w.encode() for w in model.hot]
+        counts = np.array(list(model.hot.values()), np.float64) + 0.5
+        self.hot = {w: k for k, w in enumerate(words)}
+        # with a last entry for words that are not hot: their counts come in the join
+        self.base = np.append(np.log10(counts / denominator), -self.rest)
+        self.inside = np.append(np.log10(counts) - [0.0 if w in own else self.mass[bucket(w.decode()) - WORDS] for w in words], 0.0)
+        self.inside[[k for k, w in enumerate(words) if w in own]] = 0.0
 
     def log_classes(self, runs: list[list[int]]) -> np.ndarray:
         """The natural log of each token's class probability."""
@@ -399,9 +405,9 @@ class _Scorer:
     def score(self, texts: list[bytes]) -> tuple[list, list, list, list, list, list]:
         """Per text: tokens, known ones, base score and model score without the counts of rare words, these words and their counts."""
         n = len(texts)
-        sizes, known, base, score = [0] * n, [0] * n, [0.0] * n, np.zeros(n)
-        rare: list[Counter] = [Counter() for _ in texts]
+        score = np.zeros(n)
         runs, owners, waiting = [], [], 0
+        words, times, distinct = [], [], []
 
         def flush() -> None:
             logs = self.log_classes(runs)
@@ -410,31 +416,33 @@ class _Scorer:
 
         for i, text in enumerate(texts):
             seen: Counter = Counter((b"",))  # the end
-            for words, own in _runs_of_classes(text, self.known):
-                seen.update(words)
+            for said, own in _runs_of_classes(text, self.known):
+                seen.update(said)
                 runs.append(own)
                 owners.append(i)
                 waiting += len(own)
                 if waiting > _SCORED_TOKENS:
                     flush()
                     waiting = 0
-            terms, inner = [], []
-            for w, times in seen.items():
-                sizes[i] += times
-                got = self.hot.get(w)
-                if got is None:
-                    rare[i][w] = times
-                    terms.append(-times * self.rest)
-                    inner.append(-times * self.mass[self.known[w] - WORDS] if w else 0.0)
-                else:
-                    known[i] += times
-                    terms.append(times * got[0])
-                    inner.append(times * got[1])
-            base[i] = math.fsum(terms)
-            score[i] += math.fsum(inner)
+            words += seen
+            times += seen.values()
+            distinct.append(len(seen))
         if runs:
             flush()
-        return sizes, known, base, score.tolist(), [[w.decode() for w in own] for own in rare], [list(own.values()) for own in rare]
+        none = len(self.hot)
+        at = np.fromiter(map(self.hot.get, words, repeat(none)), np.int64, len(words))
+        owner, said = np.repeat(np.arange(n), distinct), np.array(times, np.float64)
+        add = lambda values: np.bincount(owner, values, minlength=n)
+        inner = self.inside[at]
+        missing = np.nonzero(at == none)[0].tolist()
+        for k in missing:
+            inner[k] = -self.mass[self.known[words[k]] - WORDS] if words[k] else 0.0
+        rare, counted = [[] for _ in texts], [[] for _ in texts]
+        for k, i in zip(missing, owner[missing].tolist()):
+            rare[i].append(words[k].decode())
+            counted[i].append(times[k])
+        sizes, known = add(said).astype(np.int64), add(said * (at < none)).astype(np.int64)
+        return sizes.tolist(), known.tolist(), add(said * self.base[at]).tolist(), (score + add(said * inner)).tolist(), rare, counted
 
 
 _scorers: dict[str, _Scorer] = {}
