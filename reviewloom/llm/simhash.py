@@ -172,9 +172,10 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float | No
         of = fps.join(roots, fps.fp == roots.node, "left").select(F.col("id").alias("node"), F.coalesce("root", "fp").cast("string").alias("root"))
     else:
         of = components(minhash.links(texts, words, similarity), "a", "b").select("node", F.hex("root").alias("root"))
-    rows = docs_with.select(F.col("doc_id").alias("id"), F.col(digest).alias("digest"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("first")
+    rows = docs_with.groupBy(F.col(digest).alias("digest")).agg(first)  # one row to a text, however many copies it has
     rows = rows.join(of, rows.digest == of.node, "left").withColumn("root", F.coalesce("root", F.hex("digest")))
-    least = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("least"))
+    least = rows.groupBy("root").agg(F.min(F.struct("first.none", "first.id", "digest")).alias("least"))
     kept = stage(least.select("least.id", "least.digest"), "kept").select(F.col("id").alias(kept_id := fresh_name(docs, "kept_id")), F.col("digest").alias(kept_text := fresh_name(docs, "kept_text")))
     stays = docs_with.join(kept, (docs_with[digest] == kept[kept_text]) & docs_with.doc_id.eqNullSafe(kept[kept_id]), "left_semi")
     return stays.dropDuplicates(["doc_id", digest]).drop(digest)
