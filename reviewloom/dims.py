@@ -29,9 +29,9 @@ ASPECTS = [
 ]
 #: Polarity and its score.
 POLARITIES = [("negative", -1), ("neutral", 0), ("positive", 1)]
-#: Labels so general that a prediction of one of them in place of a missed one counts as broad.
-BROAD = ["overall_experience", "clarity", "lecturer_quality"]
-#: The aspects that the transfer corpus can show.
+#: Labels so general that a prediction of one of them in place of a missed one counts as broad.
+BROAD = ["overall_experience", "interest", "support", "tooling_usability", "feedback_quality"]
+#: The aspects that the transfer corpus can show.
 OVERLAP = ["lecturer_quality", "overall_experience", "organization", "workload", "grading_transparency", "materials", "exam_fairness", "assessment_design", "accessibility"]
 #: Raw opinion codes of the annotation corpus and their polarity.
 OPINION_CODES = {"Positive": "positive", "Negative": "negative", "Neutral#Sug": "neutral", "Neutral#NSug": "neutral"}

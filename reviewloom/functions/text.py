@@ -58,13 +58,13 @@ def unfence(text: Column) -> Column:
 
 
 def cue_tags(raw: Column) -> Column:
-    """Sorted distinct tags of a string delimited by comma, semicolon, slash or bar."""
-    parts = F.transform(F.split(F.lower(raw), r"[,;/|]"), lambda x: F.trim(x))
+    """Sorted distinct tags of a string delimited by comma, semicolon, slash or bar, words of a tag joined by underscores."""
+    parts = F.transform(F.split(F.lower(raw), r"[,;/|]"), lambda x: F.replace(collapse_space(x), F.lit(" "), F.lit("_")))
     return F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != "")))
 
 
 #: The length schemes: bounds below which a text's words fall in each band, and the bands' names.
-BANDS = {"packet": ([30, 80, 180], ["short", "medium", "long", "very_long"]), "annotation": ([15, 40], ["short", "medium", "long"]), "generation": ([80, 150], ["short", "medium", "long"])}
+BANDS = {"packet": ([30, 80, 180], ["short", "mid", "long", "very_long"]), "annotation": ([15, 40], ["short", "mid", "long"]), "generation": ([80, 150], ["short", "medium", "long"])}
 
 
 def length_band(n_words: Column, scheme: str) -> Column:

@@ -72,9 +72,12 @@ def disagreements(votes: DataFrame, value: str, *item: str) -> DataFrame:
 def normalized_answer(raw: Column) -> Column:
     """yes, no or unclear for the usual spellings; others pass through."""
     x = F.lower(F.trim(raw))
-    return F.when(x.isin("yes", "y", "true", "1", "supported", "match"), "yes").when(x.isin("no", "n", "false", "0", "unsupported", "mismatch"), "no").when(x.isin("", "unclear", "unsure", "?"), "unclear").otherwise(x)
+    # fixed values: the spellings of each answer; a null one stays empty
+    known = {"yes": ("yes", "true", "1", "supported", "match"), "no": ("no", "false", "0", "not_supported", "mismatch"), "unclear": ("", "unclear", "ambiguous", "uncertain", "partial")}
+    return F.when(raw.isNull(), "").when(x.isin(*known["yes"]), "yes").when(x.isin(*known["no"]), "no").when(x.isin(*known["unclear"]), "unclear").otherwise(x)
 
 
 def outcome_bucket(supported: Column, matched: Column) -> Column:
-    """D for unclear, A supported and matched, B supported only, C neither; unclear is tested first."""
-    return F.when((supported == "unclear") | (matched == "unclear"), "D").when((supported == "yes") & (matched == "yes"), "A").when(supported == "yes", "B").otherwise("C")
+    """A supported and matched, B supported only, C not supported, D for what is unclear in either or no known answer."""
+    known = F.when((supported == "yes") & (matched == "yes"), "A").when((supported == "yes") & (matched == "no"), "B").when(supported == "no", "C")
+    return F.when((supported == "unclear") | (matched == "unclear"), "D").otherwise(F.coalesce(known, F.lit("D")))

@@ -61,9 +61,9 @@ def batch_summary(rows: DataFrame) -> DataFrame:
     return both.select("n_rows", "n_completed", "n_incomplete", ratio(F.col("n_completed"), F.col("n_rows")).alias("completion_rate"), ratio(F.col("n_completed") - F.col("n_distinct"), F.col("n_completed")).alias("duplicate_rate"), "mean_length", "max_length")
 
 
-def canary_gate(summary: DataFrame, completion: float = 0.9, duplicates: float = 0.1, band: float = 0.5, least_rows: int = 1, most_length: int = 1 << 40) -> DataFrame:
-    """The verdict on a trial batch: all of its thresholds hold."""
-    verdict = (F.col("completion_rate") >= completion) & (F.col("duplicate_rate") <= duplicates) & (F.col("band_match_rate") >= band) & (F.col("n_rows") >= least_rows) & (F.coalesce("max_length", F.lit(0)) <= most_length)
+def canary_gate(summary: DataFrame, text_success: float = 0.95, completion: float = 0.95, duplicates: float = 0.1, band: float = 0.7) -> DataFrame:
+    """The verdict on a trial batch: texts, completion, duplicates and length bands meet their thresholds, and its rows load."""
+    verdict = (F.col("text_success_rate") >= text_success) & (F.col("completion_rate") >= completion) & (F.col("duplicate_rate") <= duplicates) & (F.col("band_match_rate") >= band) & F.coalesce("loader_ok", F.lit(False))
     return summary.select("*", verdict.alias("accepted"))
 
 

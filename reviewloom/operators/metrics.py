@@ -75,13 +75,22 @@ def group_rollup(per_aspect: DataFrame, dim: DataFrame, *keys: str) -> DataFrame
     return sums.select(*keys, "group", "n_aspects", f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("micro_f1"), "macro_f1", "macro_balanced_accuracy")
 
 
+def _thresholds_passed(p: Column, grid: list[float]) -> Column:
+    """How many values of an even, ascending grid p reaches; 0 for null.  The place found by division is put right by one comparison each way."""
+    held = F.array(*map(F.lit, grid))
+    step = (grid[-1] - grid[0]) / max(len(grid) - 1, 1) or 1.0
+    k = F.least(F.greatest(F.floor((p - grid[0]) / step), F.lit(0)), F.lit(len(grid) - 1)).cast("int")
+    found = F.when(p >= F.get(held, k + 1), k + 2).when(p >= F.get(held, k), k + 1).otherwise(k)
+    return F.coalesce(found, F.lit(0))
+
+
 def at_thresholds(fact: DataFrame, grid: list[float], *keys: str) -> DataFrame:
     """Counts at each threshold of a grid, without multiplying the fact table by it.
 
     Each probability falls in one bin of the grid; the counts of a threshold
     are the sums of the bins at and above it, over one row per bin.
     """
-    passed = sum((F.when(F.col("prob") >= t, 1).otherwise(0) for t in grid), F.lit(0))
+    passed = _thresholds_passed(F.col("prob"), grid)
     bins = fact.groupBy(*keys, passed.alias("bin")).agg(F.sum("y_true").alias("pos"), F.count("*").alias("n"))
     steps = F.explode(F.array(*[F.struct(F.lit(k + 1).alias("bin"), F.lit(t).alias("threshold")) for k, t in enumerate(grid)])).alias("step")
     every = bins.groupBy(*keys).agg(F.sum("pos").alias("all_pos"), F.sum("n").alias("all_n")).select(*keys, "all_pos", "all_n", steps).select(*keys, "all_pos", "all_n", "step.*")

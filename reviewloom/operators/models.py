@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
@@ -60,8 +60,7 @@ def two_step(train: DataFrame, held: DataFrame, test: DataFrame, aspects: list[s
     Rows: (review_id, text, y_<aspect> and optionally s_<aspect>).
     """
     features: PipelineModel = tfidf(vocabulary, min_df).fit(train)
-    fit, calibration, rest = (features.transform(x) for x in (train, held, test))
-    fit = stage(fit, "features")
+    fit, calibration, rest = (stage(features.transform(x), "features") for x in (train, held, test))  # every aspect reads them
     out = None
     for a in aspects:
         label, sentiment = f"y_{a}", f"s_{a}"
@@ -101,10 +100,6 @@ def leave_one_out(rows: DataFrame, held: DataFrame, aspects: list[str], column:
     return out
 
 
-def assemble(df: DataFrame, columns: list[str], name: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=columns, outputCol=name).transform(df)
-
-
 def ask(prompts: DataFrame, client: Callable[[], Callable[[str], str]], key: str = "custom_id", tries: int = 4) -> DataFrame:
     """(key, text, error) of each prompt: a client made once per task answers; failures are tried again and then recorded."""
     kind = dict(prompts.dtypes)[key]

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewloom.dims import OPINION_CODES
 from reviewloom.functions.text import token_set
 
 
@@ -40,10 +41,11 @@ def contained(spans: DataFrame, marks: DataFrame, width: int = 256) -> DataFrame
     return s.join(m, ["file", "bucket"]).where("begin >= span_begin AND end <= span_end").drop("bucket")
 
 
-def nearest_opinions(marks: DataFrame, within: int = 80) -> DataFrame:
+def nearest_opinions(marks: DataFrame, within: int = 80, known: tuple[str, ...] = tuple(OPINION_CODES)) -> DataFrame:
     """(file, span_begin, aspect_raw, opinion_raw): each aspect with its own opinion, or the nearest free one of its span.
 
-    Aspects choose in order of position; an opinion is used once; the first of
+    An opinion is a code in ``known``; an aspect with another code looks for
+    the nearest like one without.  Aspects choose in order of position; an opinion is used once; the first of
     equally near ones wins.  What one takes the next can't, so a span's marks
     are walked in order by one task per span; a span is a review's passage and
     has a handful.
@@ -51,12 +53,12 @@ def nearest_opinions(marks: DataFrame, within: int = 80) -> DataFrame:
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values(["begin", "end", "aspect_raw", "opinion_raw"]).to_dict("records")
-        free = [r for r in rows if r["opinion_raw"] and not r["aspect_raw"]]
+        free = [r for r in rows if r["opinion_raw"] in known and not r["aspect_raw"]]
         out = []
         for r in rows:
             if not r["aspect_raw"]:
                 continue
-            if r["opinion_raw"]:
+            if r["opinion_raw"] in known:
                 out.append((r["file"], r["span_begin"], r["aspect_raw"], r["opinion_raw"]))
                 continue
             away = [min(abs(r["begin"] - o["begin"]), abs(r["end"] - o["end"])) for o in free]

@@ -45,10 +45,10 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(rater, item_id, aspect, answer, polarity): three raters' answers on the first five aspects."""
+    """(rater, item_id, aspect, answer, polarity): three raters' answers on all aspects."""
     raters = spark.createDataFrame(RATERS, "rater string, k int")
     r, i = F.col("review_id"), F.col("idx")
-    v = cells(spark, sf_dir).where("idx < 5").crossJoin(F.broadcast(raters))
+    v = cells(spark, sf_dir).crossJoin(F.broadcast(raters))
     way = (r * F.col("k") + i + F.floor(r / 7)) % 5
     answer = F.when(way < 3, "yes").when(way == 3, "no").otherwise("unclear")
     names = F.array(F.lit("negative"), F.lit("neutral"), F.lit("positive"))
@@ -75,5 +75,5 @@ fact AS (SELECT approach, review_id, style, grade, course_name, idx, aspect, ide
 VOTES_SQL = f"""{CELLS_SQL},
 raters(rater, k) AS (VALUES {_RATERS}),
 votes AS (SELECT rater, review_id AS item_id, idx, aspect, y_true, pol_true, answer, CASE WHEN answer = 'yes' THEN ['negative', 'neutral', 'positive'][(review_id * k + review_id // 3) % 3 + 1] END AS polarity, (review_id * k) % 11 * 10 AS conf
-    FROM (SELECT *, CASE WHEN (review_id * k + idx + review_id // 7) % 5 < 3 THEN 'yes' WHEN (review_id * k + idx + review_id // 7) % 5 = 3 THEN 'no' ELSE 'unclear' END AS answer FROM cells, raters WHERE idx < 5))"""
+    FROM (SELECT *, CASE WHEN (review_id * k + idx + review_id // 7) % 5 < 3 THEN 'yes' WHEN (review_id * k + idx + review_id // 7) % 5 = 3 THEN 'no' ELSE 'unclear' END AS answer FROM cells, raters))"""
 COUNTS_SQL = "count(*) FILTER (y_true = 1 AND y_pred = 1) AS tp, count(*) FILTER (y_true = 0 AND y_pred = 0) AS tn, count(*) FILTER (y_true = 0 AND y_pred = 1) AS fp, count(*) FILTER (y_true = 1 AND y_pred = 0) AS fn"

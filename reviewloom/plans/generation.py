@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.dims import ASPECTS, dim_aspect
-from reviewloom.functions.text import length_band, word_count
+from reviewloom.functions.text import word_count
 from reviewloom.operators import batch as B
 from reviewloom.operators import generation as G
 from reviewloom.operators import review as V
@@ -44,14 +44,19 @@ def coherent_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("review_id", G.coherent_state(F.col("grade"), F.col("p"), F.col("n")).alias("state"))
 
 
-@query("q_request_grid", f"""WITH {REVIEWS_SQL}, m(model) AS (VALUES ('big-mini-1'), ('big-2'), ('other')), v(variant) AS (VALUES ('zero'), ('few')), b AS (SELECT review_id AS item_id, CASE WHEN w < 80 THEN 'short' WHEN w < 150 THEN 'medium' ELSE 'long' END AS band, text FROM (SELECT *, {_WORDS} AS w FROM reviews))
-SELECT model || '__' || variant || '__' || printf('row_%06d', item_id) AS custom_id, CASE WHEN model LIKE 'big-mini%' THEN 'minimal' WHEN model LIKE 'big%' THEN 'low' END AS effort,
-CASE band WHEN 'short' THEN 160 WHEN 'medium' THEN 320 ELSE 560 END AS max_tokens, md5('Label it.' || chr(10) || 'Review: ' || text || chr(10) || 'Labels:') AS prompt_md5 FROM b, m, v""")
+_BANDED = ["very short comment", "compact but informative review", "mid-length reflective review", "detailed review with one dominant complaint", "essay"]
+_LIMITS = [(1, 90, 110), (2, 120, 140), (2, 210, 230), (2, 300, 330), (2, 160, 180)]
+
+
+@query("q_request_grid", f"""WITH {REVIEWS_SQL}, m(model) AS (VALUES ('gpt-5.2'), ('gpt-5-mini'), ('GPT-5'), ('other')), v(variant) AS (VALUES ('zero'), ('few')), b AS (SELECT review_id AS item_id, review_id % 5 AS band, review_id % 3 + 1 AS n_aspects, text FROM reviews)
+SELECT model || '__' || variant || '__' || printf('row_%06d', item_id) AS custom_id, CASE model WHEN 'gpt-5.2' THEN 'none' WHEN 'GPT-5' THEN 'low' ELSE 'minimal' END AS effort,
+CASE band {" ".join(f"WHEN {k} THEN CASE WHEN n_aspects <= {few} THEN {low} ELSE {high} END" for k, (few, low, high) in enumerate(_LIMITS))} END AS max_tokens, md5('Label it.' || chr(10) || 'Review: ' || text || chr(10) || 'Labels:') AS prompt_md5 FROM b, m, v""")
 def request_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    models = spark.createDataFrame([("big-mini-1",), ("big-2",), ("other",)], "model string")
+    models = spark.createDataFrame([("gpt-5.2",), ("gpt-5-mini",), ("GPT-5",), ("other",)], "model string")
     variants = spark.createDataFrame([("zero",), ("few",)], "variant string")
-    items = reviews(spark, sf_dir).select(F.col("review_id").alias("item_id"), "text", length_band(word_count(F.col("text")), "generation").alias("band"))
-    _, tokens = G.length_settings(F.col("band"))
+    band = F.element_at(F.array(*map(F.lit, _BANDED)), (F.col("review_id") % 5 + 1).cast("int"))
+    items = reviews(spark, sf_dir).select(F.col("review_id").alias("item_id"), "text", band.alias("band"), (F.col("review_id") % 3 + 1).alias("n_aspects"))
+    _, tokens = G.length_settings(F.col("band"), F.col("n_aspects"))
     return B.requests(models, variants, items).select("custom_id", G.effort(F.col("model")).alias("effort"), tokens.alias("max_tokens"), F.md5(B.prompt(F.lit("Label it."), F.col("text"))).alias("prompt_md5"))
 
 

@@ -65,10 +65,10 @@ def length_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("q_text_normalize", r"""SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g'))) AS collapsed, regexp_replace(regexp_replace(lower(source || ' / ' || lang), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
-CASE WHEN length(text) > 80 THEN left(text, 80) || '...' ELSE text END AS preview, contains(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), trim(regexp_replace(lower(left(text, 20)), '[^a-z0-9]+', ' ', 'g'))) AND trim(regexp_replace(lower(left(text, 20)), '[^a-z0-9]+', ' ', 'g')) <> '' AS matches FROM documents""")
+CASE WHEN length(text) > 80 THEN left(text, 80) || '...' ELSE text END AS preview, contains(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', ' ', 'g'))) AND trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', ' ', 'g')) <> '' AS matches FROM documents""")
 def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.collapse_space(t)).alias("collapsed"), T.slug(F.concat_ws(" / ", "source", "lang")).alias("slug"), T.preview(t).alias("preview"), T.titles_match(t, F.left(t, F.lit(20))).alias("matches"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.collapse_space(t)).alias("collapsed"), T.slug(F.concat_ws(" / ", "source", "lang")).alias("slug"), T.preview(t).alias("preview"), T.titles_match(t, F.substring_index(t, "\n", 1)).alias("matches"))
 
 
 @query("q_tokens", "SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS n_distinct, len(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS n_tokens FROM documents")
@@ -77,9 +77,9 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(T.token_set(F.col("text"))).cast("long").alias("n_distinct"), F.size(t).cast("long").alias("n_tokens"))
 
 
-@query("q_cue_tags", "SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split_regex(lower(lang || ', ' || source || ';' || lang || '/X'), '[,;/|]'), lambda x: trim(x)), lambda x: x <> ''))), ',') AS tags FROM documents")
+@query("q_cue_tags", "SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split_regex(lower(lang || ',  Read  ' || source || ';' || lang || '/X'), '[,;/|]'), lambda x: replace(trim(regexp_replace(x, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')), ' ', '_')), lambda x: x <> ''))), ',') AS tags FROM documents")
 def cue_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat("lang", F.lit(", "), "source", F.lit(";"), "lang", F.lit("/X"))
+    raw = F.concat("lang", F.lit(",  Read  "), "source", F.lit(";"), "lang", F.lit("/X"))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.cue_tags(raw), ",").alias("tags"))
 
 
@@ -125,10 +125,10 @@ def manifest_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.unanswered(*_log(spark, sf_dir))
 
 
-@query("q_response_text", """SELECT doc_id, md5(CASE WHEN doc_id % 4 = 3 THEN NULL ELSE left(text, 40) END) AS said FROM documents""")
+@query("q_response_text", """SELECT doc_id, md5(CASE WHEN doc_id % 4 = 3 THEN NULL ELSE text END) AS said FROM documents""")
 def response_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses of the three layouts written as JSON and read again."""
-    t = F.left("text", F.lit(40))
+    t = F.col("text")
     piece = F.array(F.struct(F.lit("message").alias("type"), F.array(F.struct(F.lit("text").alias("type"), t.alias("text"))).alias("content")))
     k = F.col("doc_id") % 4
     body = F.when(k == 0, F.to_json(F.struct(t.alias("output_text")))).when(k == 1, F.to_json(F.struct(piece.alias("output")))).when(k == 2, F.to_json(F.struct(F.array(F.struct(F.struct(t.alias("content")).alias("message"))).alias("choices")))).otherwise('{"status":"failed"}')
@@ -148,7 +148,7 @@ def judge_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STATUS = "CASE WHEN doc_id % 11 = 0 THEN 'incomplete' WHEN doc_id % 17 = 0 THEN 'failed' ELSE 'completed' END"
 _BATCH = f"""r AS (SELECT source, {_STATUS} AS status, text, {_WORDS} AS length FROM documents),
 s AS (SELECT count(*) AS n_rows, count(*) FILTER (status = 'completed') AS n_completed, count(*) FILTER (status = 'incomplete') AS n_incomplete, count(DISTINCT text) FILTER (status = 'completed') AS d, round(avg(length) FILTER (status = 'completed'), 9) AS mean_length, max(length) FILTER (status = 'completed') AS max_length,
-    round(avg((length >= 80)::INT), 9) AS band_match_rate FROM r), b AS (SELECT n_rows, n_completed, n_incomplete, round(n_completed / n_rows::DOUBLE, 9) AS completion_rate, round((n_completed - d) / n_completed::DOUBLE, 9) AS duplicate_rate, mean_length, max_length, band_match_rate FROM s)"""
+    round(avg((length >= 80)::INT), 9) AS band_match_rate, round(avg((length > 0)::INT), 9) AS text_success_rate, count(*) FILTER (length > 0) > 0 AS loader_ok FROM r), b AS (SELECT n_rows, n_completed, n_incomplete, round(n_completed / n_rows::DOUBLE, 9) AS completion_rate, round((n_completed - d) / n_completed::DOUBLE, 9) AS duplicate_rate, mean_length, max_length, band_match_rate, text_success_rate, loader_ok FROM s)"""
 
 
 def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,11 +160,12 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.rounded(B.batch_summary(_batch(spark, sf_dir)))
 
 
-@query("q_canary_gate", f"WITH {_BATCH} SELECT *, completion_rate >= 0.8 AND duplicate_rate <= 0.1 AND band_match_rate >= 0.5 AS accepted FROM b")
+@query("q_canary_gate", f"WITH {_BATCH} SELECT *, text_success_rate >= 0.95 AND completion_rate >= 0.95 AND duplicate_rate <= 0.1 AND band_match_rate >= 0.7 AND loader_ok AS accepted FROM b")
 def canary_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _batch(spark, sf_dir)
-    matched = rows.agg(F.avg((F.col("length") >= 80).cast("int")).alias("band_match_rate"))
-    return B.canary_gate(M.rounded(B.batch_summary(rows).crossJoin(matched)), completion=0.8)  # one row each
+    said = F.col("length") > 0
+    matched = rows.agg(F.avg((F.col("length") >= 80).cast("int")).alias("band_match_rate"), F.avg(said.cast("int")).alias("text_success_rate"), (F.count(F.when(said, 1)) > 0).alias("loader_ok"))
+    return B.canary_gate(M.rounded(B.batch_summary(rows).crossJoin(matched)))  # one row each
 
 
 _ST = "CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'click' THEN 'running' WHEN 'view' THEN 'pending' ELSE CASE WHEN value > 95 THEN 'failed' ELSE 'completed' END END"

@@ -21,7 +21,7 @@ def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.split(reviews(spark, sf_dir).select("review_id", "style"), "review_id")
 
 
-_BAND = "CASE WHEN w < 30 THEN 'short' WHEN w < 80 THEN 'medium' WHEN w < 180 THEN 'long' ELSE 'very_long' END"
+_BAND = "CASE WHEN w < 30 THEN 'short' WHEN w < 80 THEN 'mid' WHEN w < 180 THEN 'long' ELSE 'very_long' END"
 _WORDS = "len(list_filter(string_split_regex(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> ''))"
 _BANDED = f"banded AS (SELECT review_id, style, {_BAND} AS band FROM (SELECT *, {_WORDS} AS w FROM reviews))"
 
@@ -96,7 +96,7 @@ def nearest_opinion(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _marks(spark, sf_dir)
     kind = (F.col("file") + F.col("idx")) % 3
     marks = m.select("file", "begin", "end", F.when(kind < 2, F.col("aspect")).otherwise("").alias("aspect_raw"), F.when(kind > 0, F.col("pol_true")).otherwise("").alias("opinion_raw"))
-    return R.nearest_opinions(R.contained(_spans(spark, sf_dir), marks))
+    return R.nearest_opinions(R.contained(_spans(spark, sf_dir), marks), known=("negative", "neutral", "positive"))
 
 
 @query("q_overlay_answers", f"WITH {REVIEWS_SQL} SELECT review_id AS item_id, CASE WHEN review_id % 4 = 0 THEN 'yes' ELSE 'no' END AS discussed, CASE WHEN review_id % 8 = 0 THEN 'seen' ELSE style END AS notes FROM reviews")

@@ -162,14 +162,24 @@ def notebook_outputs(spark: SparkSession, path: str, marker: str) -> DataFrame:
     return outs.where(F.contains("text", F.lit(marker))).orderBy(F.desc("pos")).limit(1)
 
 
-#: A line of a training log: aspect and its numbers.
-METRIC_LINE = r"^\s*(\w+)\s*\|\s*acc[:=]\s*([\d.]+)\s*\|\s*p[:=]\s*([\d.]+)\s*\|\s*r[:=]\s*([\d.]+)\s*\|\s*thr[:=]\s*([\d.]+)"
+#: Lines of a training log, an aspect with its five rates and four counts, and one with its threshold.
+METRIC_LINE = r"^\s*([a-z_]+)" + r"\s+([0-9.]+)" * 5 + r"\s+(\d+)" * 4
+THRESHOLD_LINE = r"^\s*([a-z_]+)\s*:\s*threshold=([0-9.]+)\s+\(F1=([0-9.]+)\)"
+
+
+def _fields(lines: DataFrame, line: str, pattern: str, names: dict[str, str]) -> DataFrame:
+    get = [F.regexp_extract(line, pattern, k + 1).try_cast(kind).alias(name) for k, (name, kind) in enumerate(names.items())]
+    return lines.where(F.regexp_like(line, F.lit(pattern))).select(*get)
 
 
 def log_metrics(lines: DataFrame, line: str = "value") -> DataFrame:
-    """aspect, accuracy, precision, recall, threshold of the log lines that have them."""
-    get = lambda k: F.regexp_extract(line, METRIC_LINE, k)
-    return lines.where(F.regexp_like(line, F.lit(METRIC_LINE))).select(get(1).alias("aspect"), *[get(k + 2).try_cast("double").alias(n) for k, n in enumerate(("accuracy", "precision", "recall", "threshold"))])
+    """aspect, its rates and its counts of the log lines that have them."""
+    return _fields(lines, line, METRIC_LINE, {"aspect": "string"} | dict.fromkeys(("accuracy", "precision", "recall", "mse", "threshold"), "double") | dict.fromkeys(("tp", "tn", "fp", "fn"), "long"))
+
+
+def log_thresholds(lines: DataFrame, line: str = "value") -> DataFrame:
+    """aspect, its threshold and F1 in calibration of the log lines that have them."""
+    return _fields(lines, line, THRESHOLD_LINE, {"aspect": "string", "threshold": "double", "calib_f1": "double"})
 
 
 def reference_list(html: Column) -> Column:

@@ -79,9 +79,9 @@ def test_majorities_and_missing_answers(spark):
 
 
 def test_answers_and_buckets(spark):
-    df = spark.createDataFrame([(" TRUE ", "match"), ("0", "1"), ("?", "yes"), ("yes", "no")], "s string, m string")
+    df = spark.createDataFrame([(" TRUE ", "match"), ("0", "1"), ("Partial", "yes"), ("yes", "not_supported"), ("?", "yes"), ("yes", "odd"), (None, "no"), ("not_supported", "yes"), ("ambiguous", "no"), ("1", "uncertain")], "s string, m string")
     a = df.select(agreement.normalized_answer(F.col("s")).alias("s"), agreement.normalized_answer(F.col("m")).alias("m"))
-    assert values(a.select(agreement.outcome_bucket(F.col("s"), F.col("m")).alias("b")), "b") == ["A", "C", "D", "B"]
+    assert values(a.select(agreement.outcome_bucket(F.col("s"), F.col("m")).alias("b")), "b") == ["A", "C", "D", "B", "D", "D", "D", "C", "D", "D"]
 
 
 def test_exact_binomial_against_rationals(spark):
@@ -172,7 +172,7 @@ def test_nearest_opinions_against_a_plain_walk(spark):
                     used.add(best[1])
                     want.append((f, m[4], rows[best[1]][5]))
     df = spark.createDataFrame(marks, "file long, span_begin long, begin long, end long, aspect_raw string, opinion_raw string")
-    got = [(r.file, r.aspect_raw, r.opinion_raw) for r in retrieval.nearest_opinions(df).collect()]
+    got = [(r.file, r.aspect_raw, r.opinion_raw) for r in retrieval.nearest_opinions(df, known=tuple(f"o{k}" for k in range(9))).collect()]
     assert sorted(got) == sorted(want)
 
 
@@ -270,8 +270,38 @@ def test_notebook_and_log(spark, tmp_path):
     p = tmp_path / "n.json"
     p.write_text(json.dumps({"cells": [{"outputs": [{"text": ["F1 old\n"]}]}, {"outputs": [{"text": ["F1 ", "new\n"]}]}, {"outputs": []}]}))
     assert values(readers.notebook_outputs(spark, str(p), "F1"), "text") == ["F1 new\n"]
-    lines = spark.createDataFrame([("clarity | acc: 0.9 | p: 0.5 | r: 0.4 | thr: 0.35",), ("noise",)], "value string")
-    assert [tuple(r) for r in readers.log_metrics(lines).collect()] == [("clarity", 0.9, 0.5, 0.4, 0.35)]
+    lines = spark.createDataFrame([("  exam_fairness   0.9810  0.50 0.4 0.25 0.35   12 400 3  9",), ("clarity : threshold=0.45  (F1=0.812)",), ("noise 1 2",)], "value string")
+    assert [tuple(r) for r in readers.log_metrics(lines).collect()] == [("exam_fairness", 0.981, 0.5, 0.4, 0.25, 0.35, 12, 400, 3, 9)]
+    assert [tuple(r) for r in readers.log_thresholds(lines).collect()] == [("clarity", 0.45, 0.812)]
+
+
+def test_generation_settings(spark):
+    from reviewloom.operators import generation
+
+    rows = [("Very short comment", 1, "gpt-5.2-x"), ("very short comment", 2, "gpt-5-nano"), (" mid-length reflective review", 2, "GPT-5.1"), ("mid-length reflective review", 3, "claudia"), ("anything", 2, "gpt-5-mini"), ("detailed review with one dominant complaint", 3, "gpt-5")]
+    df = spark.createDataFrame(rows, "band string, n int, model string")
+    words, tokens = generation.length_settings(F.col("band"), F.col("n"))
+    got = df.select(words.alias("w"), tokens.alias("t"), generation.effort(F.col("model")).alias("e")).collect()
+    assert [(r.t, r.e) for r in got] == [(90, "none"), (110, "minimal"), (210, "low"), (230, "minimal"), (160, "minimal"), (330, "low")]
+    assert "20-40 words" in got[0].w and "55-95 words" in got[4].w
+
+
+def test_unknown_opinion_codes_look_for_the_nearest(spark):
+    rows = [("f", 0, 0, 5, "CA#X_x", "Odd"), ("f", 0, 10, 15, "", "Positive"), ("f", 0, 12, 14, "", "Odd"), ("f", 0, 40, 45, "Course#X_x", "Negative"), ("f", 0, 50, 55, "Lecturer#X_1", "")]
+    df = spark.createDataFrame(rows, "file string, span_begin long, begin long, end long, aspect_raw string, opinion_raw string")
+    assert sorted((r.aspect_raw, r.opinion_raw) for r in retrieval.nearest_opinions(df).collect()) == [("CA#X_x", "Positive"), ("Course#X_x", "Negative")]
+
+
+def test_canary_gate_needs_all_five(spark):
+    good = {"text_success_rate": 0.95, "completion_rate": 0.95, "duplicate_rate": 0.1, "band_match_rate": 0.7, "loader_ok": True}
+    worse = [{}, {"text_success_rate": 0.94}, {"completion_rate": 0.94}, {"duplicate_rate": 0.11}, {"band_match_rate": 0.69}, {"loader_ok": False}, {"loader_ok": None}]
+    df = spark.createDataFrame([tuple({**good, **w}.values()) for w in worse], "text_success_rate double, completion_rate double, duplicate_rate double, band_match_rate double, loader_ok boolean")
+    assert values(batch.canary_gate(df), "accepted") == [True] + [False] * 6
+
+
+def test_cue_tags_join_words(spark):
+    df = spark.createDataFrame([(" Too  Formal ; odd\tword/too formal,,",)], "s string")
+    assert one(df.select(text.cue_tags(F.col("s")).alias("t"))).t == ["odd_word", "too_formal"]
 
 
 def test_run_store(spark, tmp_path):
