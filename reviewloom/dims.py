@@ -35,23 +35,35 @@ BROAD = ["overall_experience", "interest", "support", "tooling_usability", "feed
 OVERLAP = ["lecturer_quality", "overall_experience", "organization", "workload", "grading_transparency", "materials", "exam_fairness", "assessment_design", "accessibility"]
 #: Raw opinion codes of the annotation corpus and their polarity.
 OPINION_CODES = {"Positive": "positive", "Negative": "negative", "Neutral#Sug": "neutral", "Neutral#NSug": "neutral"}
-#: Raw aspect codes of the annotation corpus (with or without the suffix _Impli) and their aspect.
+#: Raw aspect codes of the annotation corpus and their aspect; other codes have none.
 ASPECT_CODES = {
     "Lecturer#X_1": "lecturer_quality",
     "Lecturer#X_2": "lecturer_quality",
     "Lecturer#X_3": "lecturer_quality",
     "Lecturer#X_x": "lecturer_quality",
+    "Lecturer#X_1_Impli": "lecturer_quality",
+    "Lecturer#X_2_Impli": "lecturer_quality",
+    "Lecturer#X_3_Impli": "lecturer_quality",
+    "Lecturer#X_x_Impli": "lecturer_quality",
     "Course#X_x": "overall_experience",
+    "Course#X_x_Impli": "overall_experience",
     "Course_Structure#X_1": "organization",
+    "Course_Structure#X_1_Impli": "organization",
     "Course_Structure#X_2": "workload",
+    "Course_Structure#X_2_Impli": "workload",
     "Course_Structure#X_5": "grading_transparency",
+    "Course_Structure#X_5_Impli": "grading_transparency",
     "Subject_Material#X_1": "materials",
-    "Subject_Material#X_1a": "materials",
+    "Subject_Material#X_1_Impli": "materials",
     "Subject_Material#X_x": "materials",
+    "Subject_Material#X_1a": "materials",
     "End_Exam#X_x": "exam_fairness",
+    "End_Exam#X_x_Impli": "exam_fairness",
     "End_Exam#X_x2": "exam_fairness",
     "CA#X_x": "assessment_design",
+    "CA#X_x_Impli": "assessment_design",
     "Learning_Environment#X_x": "accessibility",
+    "Learning_Environment#X_x_Impli": "accessibility",
 }
 
 

@@ -44,6 +44,12 @@ def titles_match(a: Column, b: Column) -> Column:
     return (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x))
 
 
+def inferred_title(entry: Column) -> Column:
+    """The title of a reference entry: what follows the year and its full stop, up to a stop between spaces; else the whole entry."""
+    found = F.regexp_extract(entry, r"\b(?:19|20)\d{2}\.\s+(.*?)\s+\.\s+", 1)
+    return F.when(found == "", entry).otherwise(F.trim(found))
+
+
 def first_words(text: Column, n: int) -> Column:
     return F.array_join(F.slice(words(text), 1, n), " ")
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,14 +21,26 @@ from reviewloom.operators.samples import hash_order, ranked
 from reviewloom.staging import stage
 
 
-def tfidf(vocabulary: int = 5000, min_df: float = 1.0) -> Pipeline:
-    """Words and pairs of words, counted, weighted and normalised, in column features."""
+class LogCounts(Transformer):
+    """1 + ln(count) in place of the counts in column tf.
+
+    pyspark.ml has no such step, so this is a Python function of a row's few stored counts.
+    """
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        damped = F.udf(lambda v: SparseVector(v.size, v.indices, 1.0 + np.log(v.values)), VectorUDT())
+        return dataset.withColumn("tf", damped("tf"))
+
+
+def tfidf(vocabulary: int = 5000, min_df: float = 1.0, sublinear: bool = False) -> Pipeline:
+    """Words and pairs of words, counted, weighted and normalised, in column features; ``sublinear`` damps the counts."""
     return Pipeline(
         stages=[
             RegexTokenizer(inputCol="text", outputCol="w1", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2),
             NGram(n=2, inputCol="w1", outputCol="w2"),
             SQLTransformer(statement="SELECT *, concat(w1, w2) AS grams FROM __THIS__"),
             CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=vocabulary, minDF=min_df),
+            *([LogCounts()] if sublinear else []),
             IDF(inputCol="tf", outputCol="weighted"),
             Normalizer(inputCol="weighted", outputCol="features"),
             SQLTransformer(statement="SELECT * EXCEPT (w1, w2, grams, tf, weighted) FROM __THIS__"),
@@ -54,12 +68,12 @@ def scorer(train: DataFrame, label: str, alpha: float = 1.0) -> Callable[[DataFr
     return lambda df: fitted.transform(df).withColumn("sent_pred", clip(F.col("prediction"), -1.0, 1.0)).drop("prediction")
 
 
-def two_step(train: DataFrame, held: DataFrame, test: DataFrame, aspects: list[str], vocabulary: int = 5000, min_df: float = 1.0) -> DataFrame:
+def two_step(train: DataFrame, held: DataFrame, test: DataFrame, aspects: list[str], vocabulary: int = 5000, min_df: float = 1.0, sublinear: bool = False) -> DataFrame:
     """The fact table of the test rows: features, a detector per aspect with a threshold calibrated on ``held``, polarity where it is known.
 
     Rows: (review_id, text, y_<aspect> and optionally s_<aspect>).
     """
-    features: PipelineModel = tfidf(vocabulary, min_df).fit(train)
+    features: PipelineModel = tfidf(vocabulary, min_df, sublinear).fit(train)
     fit, calibration, rest = (stage(features.transform(x), "features") for x in (train, held, test))  # every aspect reads them
     out = None
     for a in aspects:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import insort
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,25 +14,65 @@ from reviewloom.dims import OPINION_CODES
 from reviewloom.functions.text import token_set
 
 
-def token_overlap(queries: DataFrame, pool: DataFrame, k: int, max_share: float = 1.0) -> DataFrame:
+#: Bytes of query tokens that every task may hold.
+QUERY_BYTES = 64 << 20
+
+
+def token_overlap(queries: DataFrame, pool: DataFrame, k: int, max_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, doc_id, overlap, place): the k pool rows that share most distinct tokens with each query.
 
-    An inverted index: both sides' tokens are joined, so rows without a common
-    token never meet.  The queries' tokens are the small side.  ``max_share``
-    below 1 leaves out tokens that more than so much of the pool has; 1 keeps
-    all, for exact results.
+    Equal overlaps are ordered by doc_id; rows that share no token with a
+    query don't appear.  Null texts have no tokens.
+
+    Queries whose tokens fit in ``max_bytes`` go to every task, which counts
+    its rows against all of them and keeps the k best of each: what is shuffled
+    is k rows per task and query, however common a token is.  Larger query sets
+    are joined to the pool token by token, with the same rows.
     """
-    q = queries.select("query_id", F.explode(token_set(F.col("text"))).alias("token"))
-    d = pool.select("doc_id", F.explode(token_set(F.col("text"))).alias("token"))
-    d = d.join(q.select("token").distinct(), "token", "left_semi")
-    if max_share < 1:
-        n = pool.count()
-        d = d.join(d.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") <= max_share * n).select("token"), "token", "left_semi")
-    hits = q.join(d, "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("overlap"))
+    q = queries.select("query_id", token_set(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    size = q.agg(F.sum(F.aggregate("tokens", F.lit(0), lambda n, t: n + F.octet_length(t) + 64)).alias("bytes")).first()["bytes"] or 0
+    hits = _best_by_scan(q, pool, k) if size <= max_bytes else _pairs_by_join(q, pool)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("overlap"), "doc_id"))
     return hits.withColumn("place", place).where(F.col("place") <= k)
 
 
+def _pairs_by_join(q: DataFrame, pool: DataFrame) -> DataFrame:
+    asked = q.select("query_id", F.explode("tokens").alias("token"))
+    told = pool.select("doc_id", F.explode(token_set(F.col("text"))).alias("token"))
+    return asked.join(told, "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("overlap"))
+
+
+def _best_by_scan(q: DataFrame, pool: DataFrame, k: int) -> DataFrame:
+    rows = q.collect()  # within max_bytes
+    ids = [r.query_id for r in rows]
+    postings: dict[str, list[int]] = {}
+    for i, r in enumerate(rows):
+        for t in r.tokens:
+            postings.setdefault(t, []).append(i)
+    shared = q.sparkSession.sparkContext.broadcast((ids, {t: np.array(p, np.int32) for t, p in postings.items()}))
+    kinds = dict(q.dtypes)["query_id"], dict(pool.dtypes)["doc_id"]
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, postings = shared.value
+        best: list[list[tuple]] = [[] for _ in ids]  # (overlap, doc_id), the best first
+        for part in parts:
+            for doc, tokens in zip(part["doc_id"], part["tokens"]):
+                met = [postings[t] for t in tokens if t in postings]
+                if not met:
+                    continue
+                overlap = np.bincount(np.concatenate(met), minlength=len(ids))
+                for i in np.flatnonzero(overlap):
+                    mine, n = best[i], int(overlap[i])
+                    if len(mine) < k or (-n, doc) < (-mine[-1][0], mine[-1][1]):
+                        insort(mine, (n, doc), key=lambda x: (-x[0], x[1]))
+                        del mine[k:]
+        out = [(ids[i], doc, n) for i, mine in enumerate(best) for n, doc in mine]
+        yield pd.DataFrame(out, columns=["query_id", "doc_id", "overlap"])
+
+    tokens = F.coalesce(token_set(F.col("text")), F.array().cast("array<string>"))
+    return pool.select("doc_id", tokens.alias("tokens")).mapInPandas(count, f"query_id {kinds[0]}, doc_id {kinds[1]}, overlap long")
+
+
 def contained(spans: DataFrame, marks: DataFrame, width: int = 256) -> DataFrame:
     """Marks inside spans of the same file: (file, span_begin, span_end, begin, end).
 

@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slices of the hash range (two hex digits) that a global rank is counted by.
-SLICE_HEX = 2
+#: A global rank is counted by slices of the hash range: four hex digits, 65,536 slices, so 10^11 rows make slices of 1.5 million.
+SLICE_HEX = 4
 
 
 def hash_order(seed: int | str, key: Column) -> Column:
@@ -30,7 +30,11 @@ def ranked(df: DataFrame, order: str, tie: str, *strata: str) -> DataFrame:
     before = Window.partitionBy(*strata).orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.withColumn("before_", F.coalesce(F.sum("n_").over(before), F.lit(0))).drop("n_")
     inside = F.row_number().over(Window.partitionBy(*strata, "slice_").orderBy(order, tie))
-    return sliced.withColumn("inside_", inside).join(base, [*strata, "slice_"]).withColumn("place", F.col("before_") + F.col("inside_")).drop("slice_", "before_", "inside_")
+    base = base.withColumnsRenamed({c: f"{c}_base_" for c in (*strata, "slice_")})
+    same = F.lit(True)
+    for c in (*strata, "slice_"):
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_base_"))  # a null stratum is one of its own
+    return sliced.withColumn("inside_", inside).join(base, same).withColumn("place", F.col("before_") + F.col("inside_")).drop("slice_", "before_", "inside_", *[f"{c}_base_" for c in (*strata, "slice_")])
 
 
 def split(df: DataFrame, key: str, shares: tuple[float, float] = (0.1, 0.1), seed: int = 42) -> DataFrame:
@@ -79,6 +83,35 @@ def rarest_first(cells: DataFrame, item: str, label: str, quota: int, seed: int
     return per_stratum(first, item, label, quota, seed).select(item, label, "place")
 
 
+def coverage(cells: DataFrame, item: str, label: str, n: int, seed: int = 42) -> DataFrame:
+    """(item, label): n items that cover the labels, the rarest label first.
+
+    Labels take turns from the rarest (equal ones by name); each takes its
+    share, n over the number of labels, of items in hash order that no label
+    before has taken.  Too few are topped up from the other items, with label
+    null.  A label's turn depends on those before it, so there is a job per
+    label; the driver holds the chosen items, n at most.
+    """
+    sizes = cells.groupBy(label).agg(F.count("*").alias("n")).orderBy("n", label).collect()  # a row per label
+    share = max(n // max(len(sizes), 1), 1)
+    kinds = dict(cells.dtypes)
+    schema = f"{item} {kinds[item]}, {label} {kinds[label]}"
+    order = [hash_order(seed, F.col(item)), F.col(item)]
+    taken: list[tuple] = []
+
+    def open_(rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(cells.sparkSession.createDataFrame(taken, schema).select(item)), item, "left_anti") if taken else rows
+
+    for of in sizes:
+        if len(taken) >= n:
+            break
+        rows = open_(cells.where(F.col(label) == of[label]).select(item)).distinct().orderBy(*order).limit(share)
+        taken += [(r[item], of[label]) for r in rows.collect()]
+    if len(taken) < n:
+        taken += [(r[item], None) for r in open_(cells.select(item)).distinct().orderBy(*order).limit(n - len(taken)).collect()]
+    return cells.sparkSession.createDataFrame(taken[:n], schema)
+
+
 def draw(weights: list[tuple[str, float]], key: Column, seed: int | str) -> Column:
     """One value per row, by its hash against cumulative weights."""
     u = F.conv(F.left(hash_order(seed, key), F.lit(8)), 16, 10).cast("long") / float(1 << 32)

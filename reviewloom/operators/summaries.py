@@ -37,6 +37,16 @@ def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFra
     return df.groupBy(row).pivot(column, values).count().na.fill(0)
 
 
+def by_total(table: DataFrame, row: str, columns: list[str], mean: bool = False) -> DataFrame:
+    """A pivoted table with its rows' sum (or mean) over ``columns`` and place, the greatest first, equal ones by name.
+
+    Nulls count 0.  The table is a report of few rows, one per value of ``row``.
+    """
+    total = sum((F.coalesce(F.col(c), F.lit(0)) for c in columns[1:]), F.coalesce(F.col(columns[0]), F.lit(0)))
+    totalled = table.withColumn("total", total / len(columns) if mean else total)
+    return totalled.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), row)))
+
+
 def cooccurrence(cells: DataFrame) -> DataFrame:
     """How often two labels stand in the same row, the diagonal included; pairs come from the row's own list of labels."""
     per = cells.where("y_true = 1").groupBy("review_id").agg(F.collect_list("aspect").alias("labels"))

@@ -100,13 +100,14 @@ def _log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = table(spark, sf_dir, "conversations")
     key = F.format_string("c%06d", "conv_id")
     asked = c.where("turn = 0").select(key.alias("custom_id"), F.col("role").alias("asked_by"), F.length("text").cast("long").alias("prompt_chars"))
-    said = B.last_by_key(c.where("turn > 0 AND conv_id % 7 <> 0").select(key.alias("custom_id"), "turn", "role", F.length("text").cast("long").alias("chars")), "custom_id", "turn")
+    other = F.when(F.col("conv_id") % 7 == 0, F.format_string("old-%06d", "conv_id")).otherwise(key)  # answers to requests that the manifest doesn't list
+    said = B.last_by_key(c.where("turn > 0").select(other.alias("custom_id"), "turn", "role", F.length("text").cast("long").alias("chars")), "custom_id", "turn")
     extra = said.withColumn("custom_id", F.concat(F.lit("x"), "custom_id")).where("turn % 5 = 1")
     return asked, said.unionByName(extra)
 
 
 _LOG = """asked AS (SELECT printf('c%06d', conv_id) AS custom_id, role AS asked_by, length(text) AS prompt_chars FROM conversations WHERE turn = 0),
-ranked AS (SELECT printf('c%06d', conv_id) AS custom_id, turn, role, length(text) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE turn > 0 AND conv_id % 7 <> 0),
+ranked AS (SELECT CASE WHEN conv_id % 7 = 0 THEN printf('old-%06d', conv_id) ELSE printf('c%06d', conv_id) END AS custom_id, turn, role, length(text) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE turn > 0),
 one AS (SELECT custom_id, turn, role, chars FROM ranked WHERE r = 1), said AS (SELECT * FROM one UNION ALL SELECT 'x' || custom_id, turn, role, chars FROM one WHERE turn % 5 = 1)"""
 
 

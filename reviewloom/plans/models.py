@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.operators import metrics as M
 from reviewloom.operators import models as L
+from reviewloom.operators import transfer as X
 from reviewloom.operators.samples import split
 from reviewloom.plans.core import query
 from reviewloom.staging import stage, table
@@ -34,10 +35,21 @@ def tfidf_two_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_learning_curve")
 def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.rounded(L.learning_curve(*_parts(_rows(spark, sf_dir)), ["toxic"], [0.25, 0.5, 0.75, 1.0]))
+    return M.rounded(L.learning_curve(*_parts(_rows(spark, sf_dir)), ASPECTS, [0.25, 0.5, 0.75, 1.0]))
 
 
 @query("q_style_holdout")
 def style_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, held, _ = _parts(_rows(spark, sf_dir))
-    return M.rounded(L.leave_one_out(train, held, ["quality"], "style", ["de", "en", "es", "fr"]))
+    train, held, test = _parts(_rows(spark, sf_dir))
+    return M.rounded(L.leave_one_out(train.unionByName(test), held, ASPECTS, "style", ["de", "en", "es", "fr"]))
+
+
+@query("q_transfer_metrics")
+def transfer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained on the documents of one half of the sources, tried on all of the other half."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("review_id"), "text", (F.crc32(F.col("source").cast("binary")) % 2).alias("side"))
+    given = F.array(F.when(F.col("quality") == 1, "quality"), F.when(F.col("toxic") == 1, "toxic"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("review_id"), F.explode(F.array_compact(given)).alias("aspect"), F.when(F.col("toxic") == 1, "negative").otherwise("positive").alias("polarity"))
+    rows = stage(X.wide(d, labels, ASPECTS).join(d.select("review_id", "side"), "review_id"), "wide")
+    fact = stage(X.transfer(rows.where("side = 0").drop("side"), rows.where("side = 1").drop("side"), ASPECTS), "fact")
+    return M.rounded(M.rates(M.confusion(fact, "aspect")).join(M.sentiment_errors(fact, "aspect"), "aspect"))
