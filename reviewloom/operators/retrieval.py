@@ -52,20 +52,26 @@ def _best_by_scan(q: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     shared = q.sparkSession.sparkContext.broadcast((ids, {t: np.array(p, np.int32) for t, p in postings.items()}))
     kinds = dict(q.dtypes)["query_id"], dict(pool.dtypes)["doc_id"]
 
+    def rank(hit: tuple) -> tuple:  # nulls first, as Spark sorts them
+        return -hit[0], hit[1] is not None, hit[1]
+
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, postings = shared.value
         best: list[list[tuple]] = [[] for _ in ids]  # (overlap, doc_id), the best first
+        least = np.ones(len(ids), np.int64)  # overlaps below don't enter
         for part in parts:
-            for doc, tokens in zip(part["doc_id"], part["tokens"]):
+            for doc, tokens in zip(part["doc_id"].astype(object).where(part["doc_id"].notna(), None), part["tokens"]):
                 met = [postings[t] for t in tokens if t in postings]
                 if not met:
                     continue
                 overlap = np.bincount(np.concatenate(met), minlength=len(ids))
-                for i in np.flatnonzero(overlap):
-                    mine, n = best[i], int(overlap[i])
-                    if len(mine) < k or (-n, doc) < (-mine[-1][0], mine[-1][1]):
-                        insort(mine, (n, doc), key=lambda x: (-x[0], x[1]))
+                for i in np.flatnonzero(overlap >= least):
+                    mine, new = best[i], (int(overlap[i]), doc)
+                    if len(mine) < k or rank(new) < rank(mine[-1]):
+                        insort(mine, new, key=rank)
                         del mine[k:]
+                        if len(mine) == k:
+                            least[i] = mine[-1][0]
         out = [(ids[i], doc, n) for i, mine in enumerate(best) for n, doc in mine]
         yield pd.DataFrame(out, columns=["query_id", "doc_id", "overlap"])
 
@@ -90,29 +96,36 @@ def nearest_opinions(marks: DataFrame, within: int = 80, known: tuple[str, ...]
 
     An opinion is a code in ``known``; an aspect with another code looks for
     the nearest like one without.  Aspects choose in order of position; an opinion is used once; the first of
-    equally near ones wins.  What one takes the next can't, so a span's marks
-    are walked in order by one task per span; a span is a review's passage and
-    has a handful.
-    """
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(["begin", "end", "aspect_raw", "opinion_raw"]).to_dict("records")
-        free = [r for r in rows if r["opinion_raw"] in known and not r["aspect_raw"]]
-        out = []
-        for r in rows:
-            if not r["aspect_raw"]:
-                continue
-            if r["opinion_raw"] in known:
-                out.append((r["file"], r["span_begin"], r["aspect_raw"], r["opinion_raw"]))
-                continue
-            away = [min(abs(r["begin"] - o["begin"]), abs(r["end"] - o["end"])) for o in free]
-            if away and min(away) <= within:
-                o = free.pop(away.index(min(away)))
-                out.append((r["file"], r["span_begin"], r["aspect_raw"], o["opinion_raw"]))
-        return pd.DataFrame(out, columns=["file", "span_begin", "aspect_raw", "opinion_raw"])
+    equally near ones wins.
 
+    Aspects with their own opinion need no partner and stay in the plan.  Of
+    the others, what one takes the next can't, so the marks of each span that
+    has both kinds are walked in order, as one row of a batch; a span is a
+    review's passage and has a handful.
+    """
+    aspect, own = F.coalesce(F.col("aspect_raw"), F.lit("")) != "", F.coalesce(F.col("opinion_raw").isin(list(known)), F.lit(False))
     kinds = dict(marks.dtypes)
-    return marks.select("file", "span_begin", "begin", "end", "aspect_raw", "opinion_raw").groupBy("file", "span_begin").applyInPandas(walk, f"file {kinds['file']}, span_begin {kinds['span_begin']}, aspect_raw string, opinion_raw string")
+    schema = f"file {kinds['file']}, span_begin {kinds['span_begin']}, aspect_raw string, opinion_raw string"
+    direct = marks.where(aspect & own).select("file", "span_begin", "aspect_raw", "opinion_raw")
+    # an opinion by itself has an empty aspect, an aspect in search of one gets an empty opinion
+    open_ = marks.where(aspect != own).select("file", "span_begin", F.struct("begin", "end", F.when(aspect, F.col("aspect_raw")).otherwise("").alias("a"), F.when(own, F.col("opinion_raw")).otherwise("").alias("o")).alias("m"))
+    spans = open_.groupBy("file", "span_begin").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    both = spans.where(F.exists("m", lambda m: m["a"] != "") & F.exists("m", lambda m: m["o"] != ""))
+
+    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for file, span, *fields in part.itertuples(index=False):
+                rows = list(zip(*fields))
+                free = [r for r in rows if r[3]]
+                for begin, end, name, opinion in rows:
+                    away = [] if opinion else [min(abs(begin - o[0]), abs(end - o[1])) for o in free]
+                    if away and min(away) <= within:
+                        out.append((file, span, name, free.pop(away.index(min(away)))[3]))
+            yield pd.DataFrame(out, columns=["file", "span_begin", "aspect_raw", "opinion_raw"])
+
+    found = both.select("file", "span_begin", "m.begin", "m.end", "m.a", "m.o").mapInPandas(walk, schema)
+    return direct.unionByName(found)
 
 
 def overlay(packet: DataFrame, answers: DataFrame, key: str, columns: list[str]) -> DataFrame:
