@@ -12,12 +12,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}  # of local applications without a shared folder, by application id
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; one of our own on a local master only.
 
     On a cluster without that setting this raises: a folder on one machine
-    would not be seen by the others.
+    would not be seen by the others.  The setting is read, never written: it is
+    fixed once a session runs.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -27,9 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
         return known.rstrip("/")
     if not spark.sparkContext.master.split("[")[0] == "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="reviewloom-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="reviewloom-")
+    return _own[app]
 
 
 def stage(df: DataFrame, name: str = "step") -> DataFrame:
