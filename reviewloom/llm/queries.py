@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from reviewloom.llm.bpe import op7_byte_bpe
+from reviewloom.llm.divergence import OP11_SQL, op11_source_divergence
 from reviewloom.llm.licenses import op9_license_scan, op9_sql
 from reviewloom.llm.lm import op6_lm_scores
 from reviewloom.llm.media import op2_media_columns
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_document_fingerprints,
         op9_license_scan,
         op10_toxicity,
+        op11_source_divergence,
     )
 }
 
@@ -38,4 +40,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_source_mixing": OP5_SQL,
     "op8_document_fingerprints": OP8_SQL,
     "op9_license_scan": op9_sql(),
+    "op11_source_divergence": OP11_SQL,
 }
