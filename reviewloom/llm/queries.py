@@ -14,6 +14,7 @@ from reviewloom.llm.media import op2_media_columns
 from reviewloom.llm.merkle import OP8_SQL, op8_document_fingerprints
 from reviewloom.llm.mixing import OP5_SQL, op5_source_mixing
 from reviewloom.llm.quality import op4_quality_classifier
+from reviewloom.llm.runs import op12_periodic_runs
 from reviewloom.llm.simhash import op1_simhash_near_dedup
 from reviewloom.llm.toxicity import op10_toxicity
 from reviewloom.llm.urls import OP3_SQL, op3_url_filters
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_license_scan,
         op10_toxicity,
         op11_source_divergence,
+        op12_periodic_runs,
     )
 }
 
