@@ -13,6 +13,7 @@ from reviewloom.llm.lm import op6_lm_scores
 from reviewloom.llm.media import op2_media_columns
 from reviewloom.llm.merkle import OP8_SQL, op8_document_fingerprints
 from reviewloom.llm.mixing import OP5_SQL, op5_source_mixing
+from reviewloom.llm.pii import op13_personal_data
 from reviewloom.llm.quality import op4_quality_classifier
 from reviewloom.llm.runs import op12_periodic_runs
 from reviewloom.llm.simhash import op1_simhash_near_dedup
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_toxicity,
         op11_source_divergence,
         op12_periodic_runs,
+        op13_personal_data,
     )
 }
 
