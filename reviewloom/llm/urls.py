@@ -36,6 +36,7 @@ from reviewloom.staging import table
 MAX_INDEX_BYTES = 64 << 20
 _ROWS, _QUESTION_CHARS = 4096, 8 << 20  # urls and characters asked at once
 ELSE = "allow"
+VERDICTS = ("allow", "block")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules of the registered query: host, path, verdict.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -45,6 +46,13 @@ def _lower(host: str) -> str:
     return host.translate(str.maketrans(_UPPER, _LOWER))
 
 
+def _verdict(given: str | None) -> str:
+    known = _lower(given or "null").strip(" ")
+    if known not in VERDICTS:
+        raise ValueError(f"a rule's verdict is one of {VERDICTS}, not {known!r}")
+    return known
+
+
 def build_index(rules: list[tuple[str, str, str]]) -> bytes:
     """The index file: counts, sorted keys, string offsets, the hosts' keys and their paths' lengths, verdicts, strings.
 
@@ -153,7 +161,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, id_co
     ``rules`` is a list, or a frame (host, path, verdict).  Nulls: a null url
     has an empty host and path, fits no rule and gets the method's verdict; a
     null id stays; a rule without a host fits nothing, one without a path fits
-    all of its host.  Ties: see above; a rule given with both verdicts blocks.
+    all of its host.  Verdicts are read without regard to case and blanks
+    around them; a rule with a host and any other verdict, or null, raises
+    ValueError before a url is judged.  Ties: see above; a rule given with both
+    verdicts blocks.
     A host of any length asks no more endings than the rules' hosts have
     labels, and a path of any length no more starts than they have lengths.
     Empty tables and empty rule sets work; repeated rows stay; other columns
@@ -162,11 +173,15 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, id_co
     host, path = parts(F.col(url_col))
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     if isinstance(rules, DataFrame):
-        rules = rules.select("host", F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host <> ''")
-        size = rules.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 40), F.lit(0)).alias("n")).first()["n"]
-        if size > max_index_bytes:
+        rules = rules.select("host", F.coalesce("path", F.lit("")).alias("path"), F.trim(F.translate("verdict", _UPPER, _LOWER)).alias("verdict")).where("host <> ''")
+        odd = F.min(F.when(~F.coalesce(F.col("verdict").isin(*VERDICTS), F.lit(False)), F.coalesce("verdict", F.lit("null"))))
+        found = rules.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 40), F.lit(0)).alias("n"), odd.alias("odd")).first()
+        if found.odd is not None:
+            raise ValueError(f"a rule's verdict is one of {VERDICTS}, not {found.odd!r}")
+        if found.n > max_index_bytes:
             return _judge_by_join(rows, rules, id_col)
         rules = [(r.host, r.path, r.verdict) for r in rules.toLocalIterator()]  # within max_index_bytes
+    rules = [(host, path, _verdict(verdict)) for host, path, verdict in rules if host]
     return _judge_by_index(rows, build_index(rules), id_col)
 
 

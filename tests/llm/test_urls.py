@@ -3,6 +3,8 @@ from __future__ import annotations
 import os
 import sys
 
+import pytest
+
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from oracle import same  # noqa: E402
 
@@ -71,3 +73,18 @@ def test_no_rules_and_no_pages(spark):
 
 def test_pages_equal_sql(spark, sf):
     assert same(spark, urls.op3_url_filters, ORACLE_SQL["op3_url_filters"], sf) > 0
+
+
+def test_verdicts_are_read_alike_both_ways(spark):
+    pages = spark.createDataFrame([(0, "http://a.com/x"), (1, "http://b.com/x")], "page_id long, url string")
+    for got in both_ways(spark, pages, [("a.com", "/", " BLOCK "), ("b.com", "/x", "Allow")]):
+        assert {i: r[2:] for i, r in got.items()} == {0: ("a.com/", "block"), 1: ("b.com/x", "allow")}
+    for odd in ("deny", None, ""):
+        rules = [("a.com", "/", "block"), ("b.com", "/x", odd)]
+        for held in (rules, spark.createDataFrame(rules, "host string, path string, verdict string")):
+            for limit in (1 << 30, 0):
+                with pytest.raises(ValueError, match="verdict"):
+                    urls.judge(pages, held, max_index_bytes=limit)
+    without = [("", "/x", "deny"), (None, "/x", None)]  # no host: fits nothing, whatever its verdict
+    for got in both_ways(spark, pages, without):
+        assert {r[3] for r in got.values()} == {"allow"}
