@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.llm import minhash
 from reviewloom.llm.arrow import slices
+from reviewloom.llm.graph import components
 from reviewloom.staging import fresh_name, stage, table
 
 RADIUS = 3
@@ -121,20 +122,6 @@ def links(fps: DataFrame) -> DataFrame:
     )
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, root) for every node of ``edges``; root is the least node that can be reached."""
-    both = stage(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).union(edges.select(F.col(b), F.col(a))), "edges")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "labels")
-    while True:
-        heard = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("other"))
-        met = labels.join(heard, labels.node == heard.a).select("node", F.least("root", "other").alias("near"), F.col("root").alias("old"))
-        up = labels.select(F.col("node").alias("at"), F.col("root").alias("above"))
-        after = stage(met.join(up, F.col("near") == F.col("at")).select("node", F.least("near", "above").alias("root"), "old"), "labels")
-        if after.where("root <> old").isEmpty():
-            return after.select("node", "root")
-        labels = after.select("node", "root")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, fingerprint (16 hex digits), component_id.
 

@@ -7,6 +7,8 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import edge  # noqa: E402
 
+from pyspark.sql import functions as F  # noqa: E402
+
 import corpus_pipeline as P  # noqa: E402
 from reviewloom.llm import minhash, simhash  # noqa: E402
 
@@ -62,3 +64,47 @@ def test_edges_are_exact(spark):
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.select("doc_id").collect() if r.doc_id is not None) == [(False, i) for i in (0, 1, 5, 6, 7, 8, 9)]
     assert minhash.jaccard(set(), set()) == 1.0 and minhash.shingles(b"A b", 5) == {b"a b"}
     assert simhash.keep_one(edge.empty(spark), 5, 0.8).count() == 0
+
+
+def family(draw, pairs, template_words, own_words, edited):
+    """Texts two and two alike that all share a template of words."""
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(7))
+    template, rows = [word() for _ in range(template_words)], []
+    for k in range(pairs):
+        own = [word() for _ in range(own_words)]
+        other = [word() if i in range(edited) else w for i, w in enumerate(own)]  # the edits sit together
+        rows += [(2 * k, " ".join(template + own)), (2 * k + 1, " ".join(template + other))]
+    return rows
+
+
+def test_pairs_within_a_family_of_templates_all_link(spark):
+    for pairs, template, own, edited in ((4000, 112, 44, 10), (3000, 131, 29, 8)):
+        rows = family(random.Random(pairs), pairs, template, own, edited)
+        sets = [plain(t) for _, t in rows[:4]]
+        like = lambda a, b: len(a & b) / len(a | b)
+        assert like(sets[0], sets[1]) >= 0.8 and like(sets[2], sets[3]) >= 0.8 and 0.5 < like(sets[0], sets[2]) < 0.8
+        kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA).repartition(8), 5, 0.8)
+        assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == list(range(0, 2 * pairs, 2))
+
+
+def test_links_equal_all_pairs(spark):
+    draw = random.Random(21)
+    rows = family(draw, 80, 60, 30, 3)
+    for base in (30, 8, 5):  # short texts and edits of any size, too
+        for k in range(40):
+            words = [draw.choice("abc") * draw.randrange(1, 4) for _ in range(draw.randrange(1, base))]
+            rows.append((1000 + len(rows), " ".join(words)))
+    texts = spark.createDataFrame(rows, SCHEMA).withColumn("digest", minhash.text_digest(F.col("text"))).select("digest", "text")
+    roots = {bytes(r.node): bytes(r.root) for r in simhash.components(minhash.links(texts, 5, 0.8), "a", "b").collect()}
+    digests = {bytes(r.digest): r.text for r in texts.collect()}
+    sets = {d: plain(t) for d, t in digests.items()}
+    want = {d: d for d in digests}
+    changed = True
+    edges = [(a, b) for a in digests for b in digests if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in edges:
+            least = min(want[a], want[b])
+            changed |= want[a] != least or want[b] != least
+            want[a] = want[b] = least
+    assert {d: roots.get(d, d) for d in digests} == want and len(edges) > 60
