@@ -105,19 +105,31 @@ def json_block(texts: pd.Series) -> pd.Series:
     return texts.map(_block)
 
 
+def _prefix_matches(w: list[str]) -> list[int]:
+    """How many words from each place on agree with the beginning, in time linear in the words."""
+    z, left, right = [len(w)] + [0] * (len(w) - 1), 0, 0
+    for i in range(1, len(w)):
+        n = min(right - i, z[i - left]) if i < right else 0
+        while i + n < len(w) and w[n] == w[i + n]:
+            n += 1
+        z[i] = n
+        if i + n > right:
+            left, right = i, i + n
+    return z
+
+
 def _unrepeated(text: str | None) -> str | None:
-    if text is None:
-        return None
-    w = text.split()
-    for span in range(len(w) // 2, 24, -1):
-        if w[0] == w[span] and w[:span] == w[span : 2 * span]:
-            return " ".join(w[:span])
-    half = len(w) // 2
-    if len(w) >= 80:
-        left, right = " ".join(w[:half]), " ".join(w[half:])
-        if left[:200] == right[:200]:
-            return left
-    return text
+    """The longest beginning of 25 words or more that is at once said again; or half of 80 words or more whose halves begin alike."""
+    w = (text or "").split()
+    if len(w) < 50:
+        return text
+    z = _prefix_matches(w)
+    said = max((n for n in range(25, len(w) // 2 + 1) if z[n] >= n), default=0)
+    if not said and len(w) >= 80:
+        halves = (w[: len(w) // 2], w[len(w) // 2 :])
+        one, other = (" ".join(half)[:200] for half in halves)
+        said = len(halves[0]) if one == other else 0
+    return " ".join(w[:said]) if said else text
 
 
 @F.pandas_udf(StringType())
@@ -126,31 +138,6 @@ def collapse_repeats(texts: pd.Series) -> pd.Series:
     return texts.map(_unrepeated)
 
 
-_LEAD = re.compile(r"^\s*(sure|certainly|here is|here's|of course)\b[^\n]*:?\s*\n", re.I)
-_NOTE = re.compile(r"\s*[\[(]\s*note\b[^\])]*[\])]\s*", re.I)
-_DANGLING = {"and", "or", "but", "the", "a", "an", "of", "to", "with", "because", "so"}
-#: Contractions that lost their apostrophe.
-_CONTRACTIONS = {"dont": "don't", "cant": "can't", "wont": "won't", "didnt": "didn't", "isnt": "isn't", "doesnt": "doesn't", "im": "I'm", "ive": "I've"}
-
-
-def _clean(text: str | None) -> str | None:
-    if text is None:
-        return None
-    text = _NOTE.sub(" ", _LEAD.sub("", text)).strip()
-    if (quoted := re.search(r'^"([^"]{20,})"$', text, re.S)) is not None:
-        text = quoted[1]
-    w = [_CONTRACTIONS.get(x.lower(), x) for x in text.split()]
-    while w and w[-1].lower().strip(".,") in _DANGLING:
-        w.pop()
-    return " ".join(w)
-
-
-@F.pandas_udf(StringType())
-def clean_generated(texts: pd.Series) -> pd.Series:
-    """Generated text without preamble, notes, enclosing quotes and dangling last words."""
-    return texts.map(_clean)
-
-
 def slang(text: Column, swaps: dict[str, str], key: Column, share: float) -> Column:
     """Word swaps in a fixed share of the rows, by a hash of ``key``."""
     out = text

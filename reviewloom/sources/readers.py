@@ -155,11 +155,20 @@ def html_paragraphs(html: Column) -> Column:
 
 
 def notebook_outputs(spark: SparkSession, path: str, marker: str) -> DataFrame:
-    """The last output of a notebook whose text has the marker: (pos, text)."""
-    schema = "cells array<struct<outputs:array<struct<text:array<string>>>>>"
+    """What the last code cell of a notebook printed that has the marker in it: (pos, text).
+
+    A cell's outputs of both kinds, streams and plain values, are joined by line
+    feeds in their order.  Lines of an output may be a list or one string.
+    """
+    lines = "string"  # a list arrives as its JSON
+    schema = f"cells array<struct<cell_type:string,outputs:array<struct<text:{lines},data:struct<`text/plain`:{lines}>>>>>"
     book = spark.read.option("multiLine", True).schema(schema).json(path)
-    outs = book.select(F.posexplode("cells").alias("pos", "cell")).select("pos", F.explode("cell.outputs").alias("o")).select("pos", F.array_join("o.text", "").alias("text"))
-    return outs.where(F.contains("text", F.lit(marker))).orderBy(F.desc("pos")).limit(1)
+    whole = lambda c: F.when(c.startswith("["), F.array_join(F.from_json(c, "array<string>"), "")).otherwise(c)
+    said = lambda o: F.coalesce(whole(o["text"]), whole(o["data"]["text/plain"]))
+    cells = book.select(F.posexplode("cells").alias("pos", "cell")).where("coalesce(cell.cell_type, 'code') = 'code'")
+    texts = cells.select("pos", F.array_join(F.filter(F.transform("cell.outputs", said), lambda t: t.isNotNull()), "\n").alias("text"))
+    found = texts.where(F.contains("text", F.lit(marker)))
+    return found.groupBy().agg(F.max_by(F.struct("pos", "text"), "pos").alias("last")).where("last IS NOT NULL").select("last.pos", "last.text")
 
 
 #: Lines of a training log, an aspect with its five rates and four counts, and one with its threshold.
