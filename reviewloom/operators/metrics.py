@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.functions.scores import f1, mcc, nearest_polarity, polarity_score, ratio, specificity
+from reviewloom.operators.positions import cumulative
 
 #: The 19 thresholds of a calibration grid, and the 101 of a curve.
 GRID = [round(0.05 * k, 2) for k in range(1, 20)]
@@ -121,17 +122,14 @@ def positive_weights(fact: DataFrame, *keys: str) -> DataFrame:
 def ranking(fact: DataFrame, *keys: str) -> DataFrame:
     """Average precision and AUROC by keys; equal scores count as one step.  Groups of one class only are left out.
 
-    Scores are first summed to one row per distinct value, so that the ordered
-    pass sees the values and not all rows.
+    Scores are first summed to one row per distinct value.  These are summed up
+    in ranges of the order, so a group's values are spread over tasks however many it has.
     """
     steps = fact.groupBy(*keys, "prob").agg(F.sum("y_true").alias("pos"), F.count("*").alias("n"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("prob"))
-    whole = Window.partitionBy(*keys)
-    run = steps.select(*keys, "pos", (F.col("n") - F.col("pos")).alias("neg"), F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("seen"), F.sum("pos").over(whole).alias("all_pos"), F.sum("n").over(whole).alias("all_n"))
-    run = run.where("all_pos > 0 AND all_pos < all_n")
-    ap = F.sum(F.col("pos") * F.col("tp") / F.col("seen")) / F.max("all_pos")
-    beaten = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)) / (F.max("all_pos") * F.max(F.col("all_n") - F.col("all_pos")))
-    return run.groupBy(*keys).agg(ap.alias("average_precision"), beaten.alias("auroc"))
+    totals = fact.groupBy(*keys).agg(F.sum("y_true").alias("all_pos"), F.count("*").alias("all_n")).where("all_pos > 0 AND all_pos < all_n")
+    run = cumulative(steps, [F.desc("prob")], {"tp": F.col("pos"), "seen": F.col("n")}, list(keys))
+    sums = run.groupBy(*keys).agg(F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("precise"), F.sum((F.col("n") - F.col("pos")) * (F.col("tp") - F.col("pos") / 2.0)).alias("beaten"))
+    return sums.join(totals, list(keys)).select(*keys, (F.col("precise") / F.col("all_pos")).alias("average_precision"), (F.col("beaten") / (F.col("all_pos") * (F.col("all_n") - F.col("all_pos")))).alias("auroc"))
 
 
 def separation(fact: DataFrame, *keys: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.functions.text import titles_match
+from reviewloom.operators.positions import cumulative
 
 
 def representatives(df: DataFrame, predicates: dict[str, Column], order: list[Column | str], text: str = "text") -> DataFrame:
@@ -24,20 +25,14 @@ def top_labels(fact: DataFrame, k: int) -> DataFrame:
     return fact.withColumn("place", place).where(F.col("place") <= k).select("approach", "review_id", "place", "aspect", "prob")
 
 
-def quartiles(df: DataFrame, score: str, key: str, bins: int = 64) -> DataFrame:
-    """``df`` with quarter 1 (best) to 4 by the exact rank of the score, ties by key.
+def quartiles(df: DataFrame, score: str, key: str) -> DataFrame:
+    """``df`` with rank, by the score from the best, ties by key, and quarter 1 (best) to 4; a null score is the worst.
 
-    Scores are counted by bins of their range first; a row's rank is its bin's
-    base plus its place in the bin, so no task sorts all rows.
+    Ranks are counted by ranges of (score, key), so neither many scores nor many equal ones meet in one task.
     """
-    of = df.agg(F.min(score).alias("low"), F.max(score).alias("high"), F.count("*").alias("n")).first()
-    width = ((of.high or 0) - (of.low or 0)) / bins or 1.0
-    binned = df.withColumn("bin_", F.floor((F.lit(of.high) - F.col(score)) / width))
-    counts = binned.groupBy("bin_").agg(F.count("*").alias("n_"))
-    base = counts.select("bin_", F.coalesce(F.sum("n_").over(Window.orderBy("bin_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base_"))
-    inside = F.row_number().over(Window.partitionBy("bin_").orderBy(F.desc(score), key))
-    ranked = binned.withColumn("inside_", inside).join(base, "bin_").withColumn("rank", F.col("base_") + F.col("inside_"))
-    return ranked.withColumn("quarter", F.floor((F.col("rank") - 1) * 4 / F.lit(of.n)) + 1).drop("bin_", "base_", "inside_")
+    n = df.count()
+    ranked = cumulative(df, [F.desc_nulls_last(score), F.col(key)], {"rank": F.lit(1)})
+    return ranked.withColumn("quarter", F.floor((F.col("rank") - 1) * 4 / F.lit(max(n, 1))) + 1)
 
 
 def platform_answers(log: DataFrame, questions: list[str], letters: dict[str, str]) -> DataFrame:
