@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewloom.operators import joint as J
 from reviewloom.operators import metrics as M
 from reviewloom.operators import models as L
 from reviewloom.operators import transfer as X
 from reviewloom.operators.samples import split
 from reviewloom.plans.core import query
-from reviewloom.staging import stage, table
+from reviewloom.staging import shared_dir, stage, table
 
 ASPECTS = ["quality", "toxic"]
 
@@ -33,6 +36,15 @@ def tfidf_two_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.rounded(per.join(M.sentiment_errors(fact, "approach", "aspect").drop("approach"), "aspect"))
 
 
+@query("q_joint_model")
+def joint_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two aspects and their sentiment by one jointly trained model, on the rows that q_tfidf_two_step tests."""
+    root = f"{shared_dir(spark)}/joint-{uuid.uuid4().hex}"
+    fact = stage(J.joint(*_parts(_rows(spark, sf_dir)), ASPECTS, root), "fact").withColumn("approach", F.lit("joint"))
+    per = M.rates(M.confusion(fact, "approach", "aspect"))
+    return M.rounded(per.join(M.sentiment_errors(fact, "approach", "aspect").drop("approach"), "aspect"))
+
+
 @query("q_learning_curve")
 def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.rounded(L.learning_curve(*_parts(_rows(spark, sf_dir)), ASPECTS, [0.25, 0.5, 0.75, 1.0]))
