@@ -158,7 +158,7 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float | No
         roots = components(links(fps.select("fp").distinct()), "fp", "center")
         of = fps.join(roots, fps.fp == roots.node, "left").select(F.col("id").alias("node"), F.coalesce("root", "fp").cast("string").alias("root"))
     else:
-        of = components(minhash.links(texts, words, similarity), "a", "b").select("node", F.hex("root").alias("root"))
+        of = minhash.groups(texts, words, similarity).select("node", F.hex("root").alias("root"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("first")
     rows = docs_with.groupBy(F.col(digest).alias("digest")).agg(first)  # one row to a text, however many copies it has
     rows = rows.join(of, rows.digest == of.node, "left").withColumn("root", F.coalesce("root", F.hex("digest")))

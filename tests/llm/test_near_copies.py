@@ -95,7 +95,7 @@ def test_links_equal_all_pairs(spark):
             words = [draw.choice("abc") * draw.randrange(1, 4) for _ in range(draw.randrange(1, base))]
             rows.append((1000 + len(rows), " ".join(words)))
     texts = spark.createDataFrame(rows, SCHEMA).withColumn("digest", minhash.text_digest(F.col("text"))).select("digest", "text")
-    roots = {bytes(r.node): bytes(r.root) for r in simhash.components(minhash.links(texts, 5, 0.8), "a", "b").collect()}
+    roots = {bytes(r.node): bytes(r.root) for r in minhash.groups(texts, 5, 0.8).collect()}
     digests = {bytes(r.digest): r.text for r in texts.collect()}
     sets = {d: plain(t) for d, t in digests.items()}
     want = {d: d for d in digests}
