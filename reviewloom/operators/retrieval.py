@@ -18,11 +18,13 @@ from reviewloom.functions.text import token_set
 QUERY_BYTES = 64 << 20
 
 
-def token_overlap(queries: DataFrame, pool: DataFrame, k: int, max_bytes: int = QUERY_BYTES) -> DataFrame:
+def token_overlap(queries: DataFrame, pool: DataFrame, k: int, max_bytes: int = QUERY_BYTES, min_overlap: int = 1) -> DataFrame:
     """(query_id, doc_id, overlap, place): the k pool rows that share most distinct tokens with each query.
 
-    Equal overlaps are ordered by doc_id; rows that share no token with a
-    query don't appear.  Null texts have no tokens.
+    Equal overlaps are ordered by doc_id; rows that share fewer than
+    ``min_overlap`` tokens with a query don't appear.  With 0, rows that share
+    none follow those that do, so every query has k rows if the pool has.  Null
+    texts have no tokens.
 
     Queries whose tokens fit in ``max_bytes`` go to every task, which counts
     its rows against all of them and keeps the k best of each: what is shuffled
@@ -32,6 +34,12 @@ def token_overlap(queries: DataFrame, pool: DataFrame, k: int, max_bytes: int =
     q = queries.select("query_id", token_set(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
     size = q.agg(F.sum(F.aggregate("tokens", F.lit(0), lambda n, t: n + F.octet_length(t) + 64)).alias("bytes")).first()["bytes"] or 0
     hits = _best_by_scan(q, pool, k) if size <= max_bytes else _pairs_by_join(q, pool)
+    if min_overlap <= 0:
+        # a query with fewer than k hits lacks no more rows than the first k of the pool have for it
+        firsts = pool.select("doc_id").orderBy("doc_id").limit(k).agg(F.collect_list(F.struct("doc_id")).alias("firsts"))
+        none = queries.select("query_id").crossJoin(F.broadcast(firsts)).select("query_id", F.inline("firsts"))  # one row of k ids
+        hits = hits.unionByName(none.withColumn("overlap", F.lit(0).cast("long"))).groupBy("query_id", "doc_id").agg(F.max("overlap").alias("overlap"))
+    hits = hits.where(F.col("overlap") >= min_overlap)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("overlap"), "doc_id"))
     return hits.withColumn("place", place).where(F.col("place") <= k)
 
