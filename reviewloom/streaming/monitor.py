@@ -68,12 +68,15 @@ class Monitor:
         empty = self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths) if paths else empty
 
-    def states(self, before: int | None = None) -> DataFrame:
-        """One row for each run as of the batches below ``before``, all if it is None."""
+    def _rows(self, before: int | None = None) -> DataFrame:
+        """The last whole copy of the states below ``before`` and what changed since."""
         known = lambda what: [n for n in self._list(what) if before is None or n < before]
         whole = known("whole")[-1:]
-        rows = self._read("whole", STATE, whole).unionByName(self._read("changes", STATE, [n for n in known("changes") if not whole or n > whole[0]]))
-        return _folded(rows)
+        return self._read("whole", STATE, whole).unionByName(self._read("changes", STATE, [n for n in known("changes") if not whole or n > whole[0]]))
+
+    def states(self, before: int | None = None) -> DataFrame:
+        """One row for each run as of the batches below ``before``, all if it is None."""
+        return _folded(self._rows(before))
 
     def latches(self) -> DataFrame:
         """(run_id, step, batch) of all steps taken."""
