@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,12 +40,63 @@ def attributes(rows: DataFrame, key: str, schema: DataFrame, sample_size: int, s
 
     ``schema``: (attribute, required, values array), configuration.
     """
+    return attributes_by_group(rows, key, schema.withColumns({"group": F.lit(""), "sample_size": F.lit(sample_size)}), seed).drop("group")
+
+
+def attributes_by_group(rows: DataFrame, key: str, schema: DataFrame, seed: int = 42) -> DataFrame:
+    """(key, group, attribute, value): of each group its required attributes and optional ones up to the group's ``sample_size``.
+
+    ``schema``: (group, sample_size, attribute, required, values array), configuration.
+    """
     cells = rows.select(key).crossJoin(F.broadcast(schema))
     order = hash_order(seed, F.concat_ws(":", key, "attribute"))
-    placed = cells.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("required"), order, "attribute")))
-    kept = placed.where(F.col("required") | (F.col("place") <= sample_size))
+    placed = cells.withColumn("place", F.row_number().over(Window.partitionBy(key, "group").orderBy(F.desc("required"), order, "attribute")))
+    kept = placed.where(F.col("required") | (F.col("place") <= F.col("sample_size")))
     pick = F.conv(F.left(hash_order(f"{seed}v", F.concat_ws(":", key, "attribute")), F.lit(8)), 16, 10).cast("long") % F.size("values")
-    return kept.select(key, "attribute", F.element_at("values", (pick + 1).cast("int")).alias("value"))
+    return kept.select(key, "group", "attribute", F.element_at("values", (pick + 1).cast("int")).alias("value"))
+
+
+def load_document(spark: SparkSession, path: str, most: int = 1 << 24) -> str:
+    """The text of a configuration file: a template or JSON; files of more than ``most`` bytes are no configuration."""
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    if size is None or size > most:
+        raise ValueError(f"{path}: {size} bytes")
+    return spark.read.text(path, wholetext=True).first().value
+
+
+def load_schema(spark: SparkSession, path: str) -> DataFrame:
+    """(group, sample_size, attribute, required, values) of a JSON file with ``schema`` and ``nuance_sampling_policy``.
+
+    A group without a policy, or whose policy gives no size, is taken whole.
+    Attributes without values are left out.  A file without a schema is refused.
+    """
+    kind = "struct<schema:map<string,map<string,array<string>>>,nuance_sampling_policy:map<string,struct<required:array<string>,sample_size:int>>>"
+    file = spark.createDataFrame([(load_document(spark, path),)], "value string").select(F.from_json("value", kind).alias("f")).select("f.*")
+    if file.where("schema IS NULL").count():
+        raise ValueError(f"{path}: no schema")
+    policy = F.try_element_at(F.coalesce("nuance_sampling_policy", F.from_json(F.lit("{}"), "map<string,struct<required:array<string>,sample_size:int>>")), F.col("group"))
+    groups = file.select("nuance_sampling_policy", F.explode("schema").alias("group", "members")).withColumn("policy", policy)
+    size = F.coalesce(F.col("policy.sample_size"), F.size("members")).alias("sample_size")
+    each = groups.select("group", size, F.col("policy.required").alias("asked"), F.explode("members").alias("attribute", "values"))
+    required = F.coalesce(F.array_contains("asked", F.col("attribute")), F.lit(False)).alias("required")
+    return each.where(F.size("values") > 0).select("group", "sample_size", "attribute", required, "values")
+
+
+def filled(template: str, **blocks: Column) -> Column:
+    """A template's text with each ``{name}`` replaced by the column of that name and doubled braces by single ones; null blocks are empty."""
+    parts = []
+    for text, name, spec, conversion in Formatter().parse(template):
+        parts.append(F.lit(text))
+        if name is not None:
+            if name not in blocks or spec or conversion:
+                raise ValueError(f"no block for {{{name}}}")
+            parts.append(F.coalesce(blocks[name].cast("string"), F.lit("")))
+    return F.concat(F.lit(""), *parts)
+
+
+def listing(entries: Column) -> Column:
+    """Lines ``- key: value`` of an array of (key, value)."""
+    return F.array_join(F.transform(entries, lambda e: F.concat(F.lit("- "), e.key, F.lit(": "), e.value)), "\n")
 
 
 def coherent_state(grade: Column, n_positive: Column, n_negative: Column) -> Column:

@@ -47,11 +47,17 @@ def targets(cell: Column) -> Column:
 
 
 def nuances(cell: Column) -> Column:
-    """Attribute map of a cell: an object as it is, list items as item_0 and on, any other text as ``value``."""
+    """Attribute map of a cell: an object without its nulls and blanks, list items as item_0 and on, any other text as ``value``.
+
+    Blank list items go and keep their number; a null item is the text None.
+    """
     items = F.from_json(cell, "array<string>")
-    keys = F.transform(items, lambda _, i: F.concat(F.lit("item_"), i.cast("string")))
+    listed = F.transform(items, lambda x, i: F.struct(F.concat(F.lit("item_"), i.cast("string")).alias("key"), F.trim(F.coalesce(x, F.lit("None"))).alias("value")))
+    pairs = F.filter(F.map_entries(jsonish(cell)), lambda e: e.value.isNotNull())
+    pairs = last_wins(F.transform(pairs, lambda e: F.struct(F.trim(e.key).alias("key"), F.trim(e.value).alias("value"))))
     single = F.create_map(F.lit("value"), F.trim(cell))
-    return F.when(F.trim(cell).startswith("["), F.map_from_arrays(keys, items)).when(F.trim(cell).startswith("{") | F.contains(cell, F.lit(":")), jsonish(cell)).when(F.trim(F.coalesce(cell, F.lit(""))) == "", jsonish(F.lit(""))).otherwise(single)
+    found = F.when(F.trim(cell).startswith("["), F.map_from_entries(listed)).when(F.trim(cell).startswith("{") | F.contains(cell, F.lit(":")), pairs).when(F.trim(F.coalesce(cell, F.lit(""))) == "", jsonish(F.lit(""))).otherwise(single)
+    return F.map_filter(found, lambda k, v: (k != "") & (v != ""))
 
 
 def normalized(df: DataFrame) -> DataFrame:

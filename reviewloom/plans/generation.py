@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from reviewloom.operators import review as V
 from reviewloom.plans.binding import CELLS_SQL, FACT_SQL, REVIEWS_SQL, cells, fact, reviews
 from reviewloom.plans.core import query
 from reviewloom.plans.samples import _WORDS
-from reviewloom.staging import table
+from reviewloom.staging import shared_dir, table
 
 _U = lambda seed, key: f"CAST('0x' || left(md5('{seed}:' || {key}), 8) AS BIGINT) / 4294967296::DOUBLE"
 _SIZES = [("1", 0.5), ("2", 0.3), ("3", 0.2)]
@@ -37,6 +40,32 @@ def generate_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.attributes(reviews(spark, sf_dir), "review_id", spark.createDataFrame(_SCHEMA, "attribute string, required boolean, values array<string>"), 3)
 
 
+_GROUPS = {"writer": {"persona": ["novice", "expert"], "level": ["first year", "last year"], "pace": ["slow", "fast"]}, "style": {"tone": ["calm", "angry", "wry"], "slang": ["none", "some"], "detail": ["low", "high"]}, "course": {"size": ["small", "large"]}}
+_POLICY = {"writer": {"required": ["persona"], "sample_size": 2}, "style": {"required": [], "sample_size": 1}}
+_TEMPLATE = "Write one review as {{plain}} text.\nAspects:\n{aspects}\nWriter and course:\n{attributes}\n"
+_FLAT = [(g, _POLICY.get(g, {}).get("sample_size", len(m)), a, a in _POLICY.get(g, {}).get("required", []), v) for g, m in _GROUPS.items() for a, v in m.items()]
+
+
+@query("q_schema_prompts", f"""WITH {REVIEWS_SQL}, dim(idx, aspect) AS (VALUES {", ".join(f"({i}, '{a}')" for i, (a, _, _) in enumerate(ASPECTS))}),
+n AS (SELECT review_id, CASE WHEN {_U("42n", "review_id")} < 0.5 THEN 1 WHEN {_U("42n", "review_id")} < 0.8 THEN 2 ELSE 3 END AS n FROM reviews),
+p AS (SELECT review_id, idx, aspect, n, row_number() OVER (PARTITION BY review_id ORDER BY md5('42:' || review_id || ':' || idx), idx) AS place FROM n, dim),
+t AS (SELECT review_id, string_agg('- ' || aspect || ': ' || CASE WHEN {_U("42p", "review_id || ':' || idx")} < 0.5 THEN 'negative' ELSE 'positive' END, chr(10) ORDER BY idx) AS aspects FROM p WHERE place <= n GROUP BY review_id),
+s(grp, size, attribute, required, vals) AS (VALUES {", ".join(f"('{g}', {n}, '{a}', {str(r).lower()}, {v})" for g, n, a, r, v in _FLAT)}),
+q AS (SELECT review_id, s.*, row_number() OVER (PARTITION BY review_id, grp ORDER BY required DESC, md5('42:' || review_id || ':' || attribute), attribute) AS place FROM reviews, s),
+w AS (SELECT review_id, count(*) AS n_attributes, string_agg('- ' || attribute || ': ' || vals[CAST('0x' || left(md5('42v:' || review_id || ':' || attribute), 8) AS BIGINT) % len(vals) + 1], chr(10) ORDER BY attribute) AS attributes FROM q WHERE required OR place <= size GROUP BY review_id)
+SELECT review_id, n_attributes, 'Write one review as {{plain}} text.' || chr(10) || 'Aspects:' || chr(10) || aspects || chr(10) || 'Writer and course:' || chr(10) || attributes || chr(10) AS prompt FROM t JOIN w USING (review_id)""")
+def schema_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt for each review from a schema and a template that are read from files."""
+    root = f"{shared_dir(spark)}/schema-{uuid.uuid4().hex}"
+    for name, text in (("schema", json.dumps({"schema": _GROUPS, "nuance_sampling_policy": _POLICY}, indent=2)), ("template", _TEMPLATE)):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", " ").text(f"{root}/{name}")
+    r = reviews(spark, sf_dir)
+    drawn = G.attributes_by_group(r, "review_id", G.load_schema(spark, f"{root}/schema")).groupBy("review_id").agg(F.count("*").alias("n_attributes"), F.array_sort(F.collect_list(F.struct(F.col("attribute").alias("key"), "value"))).alias("a"))
+    asked = G.targets(r, "review_id", dim_aspect(spark), _SIZES, ["negative", "positive"]).groupBy("review_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.col("aspect").alias("key"), F.col("polarity").alias("value")))).alias("t"))
+    prompt = G.filled(G.load_document(spark, f"{root}/template").removesuffix(" "), aspects=G.listing(F.col("t")), attributes=G.listing(F.col("a")))
+    return asked.join(drawn, "review_id").select("review_id", "n_attributes", prompt.alias("prompt"))
+
+
 @query("q_coherent_states", f"""WITH {CELLS_SQL}, c AS (SELECT review_id, grade, count(*) FILTER (pol_true = 'positive') AS p, count(*) FILTER (pol_true = 'negative') AS n FROM cells WHERE y_true = 1 GROUP BY ALL)
 SELECT review_id, CASE WHEN grade = 'F' AND p = 0 THEN 'frustrated' WHEN grade IN ('A', 'B') AND n = 0 THEN 'satisfied' WHEN n > p THEN 'critical' WHEN p > n THEN 'content' ELSE 'mixed' END AS state FROM c""")
 def coherent_states(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,9 +110,11 @@ class _Cards(HTMLParser):
         classes = (dict(attrs).get("class") or "").split()
         role = next((c for c in ("card", "card-header", "card-text") if c in classes), "")
         if role == "card":
-            self.cards.append(["", ""])
+            self.cards.append(["", "", ""])
         if tag not in ("br", "img", "hr", "meta", "link", "input"):
             self.where.append((tag, role))
+        if self.cards and {"card", "card-header"} <= {r for _, r in self.where}:
+            self.cards[-1][2] += " ".join(v for _, v in attrs if v) + " "
 
     def handle_endtag(self, tag: str) -> None:
         for k in range(len(self.where) - 1, -1, -1):
@@ -123,6 +125,11 @@ class _Cards(HTMLParser):
     def handle_data(self, data: str) -> None:
         roles = {r for _, r in self.where}
         if self.cards and "card" in roles:
+            code = any(t in ("script", "style") for t, _ in self.where)
+            if "card-header" in roles:
+                self.cards[-1][2] += f"{data} "
+            if code:
+                return
             if "card-header" in roles:
                 self.cards[-1][0] += f" {data}"
             elif "card-text" in roles:
@@ -130,7 +137,10 @@ class _Cards(HTMLParser):
 
 
 def html_cards(pages: DataFrame, key: str = "page_id", html: str = "html", least_words: int = 25) -> DataFrame:
-    """(key, ord, header, text) of review cards in HTML, repeats within a text collapsed, short ones and later copies left out."""
+    """(key, ord, header, semester, text) of review cards in HTML, repeats within a text collapsed, short ones and later copies left out.
+
+    The semester is the name that the header's script or an attribute asks for, else the header's text.
+    """
     kind = dict(pages.dtypes)[key]
 
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,11 +149,13 @@ def html_cards(pages: DataFrame, key: str = "page_id", html: str = "html", least
             for k, page in zip(part[key], part[html]):
                 parser = _Cards()
                 parser.feed(page or "")
-                rows += [(k, i, h, t) for i, (h, t) in enumerate(parser.cards)]
-            yield pd.DataFrame(rows, columns=[key, "ord", "header", "text"])
+                rows += [(k, i, *card) for i, card in enumerate(parser.cards)]
+            yield pd.DataFrame(rows, columns=[key, "ord", "header", "text", "markup"])
 
-    cards = pages.select(key, html).mapInPandas(parse, f"{key} {kind}, ord int, header string, text string")
-    clean = cards.select(key, "ord", collapse_space(F.col("header")).alias("header"), collapse_repeats(collapse_space(F.col("text"))).alias("text")).where(word_count(F.col("text")) >= least_words)
+    cards = pages.select(key, html).mapInPandas(parse, f"{key} {kind}, ord int, header string, text string, markup string")
+    header = collapse_space(F.col("header"))
+    semester = F.coalesce(F.nullif(F.regexp_extract("markup", r"get_semester_name\('([^']+)'\)", 1), F.lit("")), header)
+    clean = cards.select(key, "ord", header.alias("header"), semester.alias("semester"), collapse_repeats(collapse_space(F.col("text"))).alias("text")).where(word_count(F.col("text")) >= least_words)
     once = F.row_number().over(Window.partitionBy(F.md5("text")).orderBy(key, "ord"))
     return clean.withColumn("copy", once).where("copy = 1").drop("copy")
 

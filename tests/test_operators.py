@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewloom.functions import scores, text
-from reviewloom.operators import agreement, batch, errors, metrics, models, normalize, retrieval, samples, summaries
+from reviewloom.operators import agreement, batch, errors, generation, metrics, models, normalize, retrieval, samples, summaries
 from reviewloom.sources import readers, writers
 
 
@@ -105,6 +105,9 @@ def test_label_cells(spark):
     assert got[:4] == [{"clarity": "positive"}, {"workload": "positive"}, {"clarity": "positive", "workload": "neutral"}, {}]
     got = values(spark.createDataFrame([(c,) for c in ('["a","b"]', '{"k":"v"}', "plain", "")], "c string").select(normalize.nuances(F.col("c")).alias("m")), "m")
     assert got == [{"item_0": "a", "item_1": "b"}, {"k": "v"}, {"value": "plain"}, {}]
+    odd = ('["a",null," ","b "]', '{"k":null," k2 ":" v ","":"x","e":" "}', " a : b | c : ", None)
+    got = values(spark.createDataFrame([(c,) for c in odd], "c string").select(normalize.nuances(F.col("c")).alias("m")), "m")
+    assert got == [{"item_0": "a", "item_1": "None", "item_3": "b"}, {"k2": "v"}, {"a": "b"}, {}]
 
 
 def test_normalised_reviews_use_alias_priority(spark):
@@ -260,6 +263,10 @@ def test_html_cards_and_lists(spark):
     page = f'<div class="card"><div class="card-header">Fall 2020</div><div class="card-body"><p class="card-text"><p>{words}</p></p></div></div><div class="card"><div class="card-header">x</div><p class="card-text">short</p></div>'
     df = spark.createDataFrame([(1, page), (2, page), (3, None)], "page_id long, html string")
     assert [(r.page_id, r.header) for r in readers.html_cards(df).collect()] == [(1, "Fall 2020")]
+    card = lambda head, n: f'<div class="card"><div class="card-header">{head}</div><p class="card-text">{words} x{n}</p></div>'
+    heads = ["<b>A</b><script>document.write(get_semester_name('20231'))</script>", "<span data-s=\"get_semester_name('2022F')\">B</span>", "Fall <i>2021</i>"]
+    df = spark.createDataFrame([(1, "".join(card(h, n) for n, h in enumerate(heads)) + "<p class='card-header'>get_semester_name('no')</p>")], "page_id long, html string")
+    assert [(r.header, r.semester) for r in readers.html_cards(df).orderBy("ord").collect()] == [("A", "20231"), ("B", "2022F"), ("Fall 2021", "Fall 2021")]
     refs = spark.createDataFrame([('<ol class="refs"><li><a href="u">A  b</a></li><li>c</li></ol>',)], "h string")
     assert [tuple(x) for x in one(refs.select(readers.reference_list(F.col("h")).alias("r"))).r] == [("u", "A b"), ("", "c")]
 
@@ -353,3 +360,25 @@ def test_stream_emits_finished_runs_once(spark, tmp_path):
 def test_confusion_pairs_are_products_within_rows(spark):
     f = fact(spark, [(1, "a", 1, 0, 0.0), (1, "b", 0, 1, 0.0), (1, "c", 0, 1, 0.0), (2, "a", 1, 1, 0.0)])
     assert sorted((r.missed, r.extra, r.n) for r in errors.confusion_pairs(f, "approach").collect()) == [("a", "b", 1), ("a", "c", 1)]
+
+
+def test_schema_files_and_templates(spark, tmp_path):
+    schema = {"schema": {"g": {"a": ["1", "2"], "b": ["3"], "none": []}, "h": {"c": ["4"], "d": ["5"]}}, "nuance_sampling_policy": {"g": {"required": ["b", "z"], "sample_size": 1}}, "polarity_mode": "binary"}
+    path = tmp_path / "schema.json"
+    path.write_text(json.dumps(schema, indent=2))
+    got = generation.load_schema(spark, str(path))
+    assert sorted((r.group, r.sample_size, r.attribute, r.required, r["values"]) for r in got.collect()) == [("g", 1, "a", False, ["1", "2"]), ("g", 1, "b", True, ["3"]), ("h", 2, "c", False, ["4"]), ("h", 2, "d", False, ["5"])]
+    drawn = generation.attributes_by_group(spark.range(50), "id", got)
+    assert {(r.group, r.attribute, r.value) for r in drawn.collect()} == {("g", "b", "3"), ("h", "c", "4"), ("h", "d", "5")} and drawn.count() == 150
+    path.write_text(json.dumps({"schema": schema["schema"]}))
+    assert {r.sample_size for r in generation.load_schema(spark, str(path)).collect()} == {3, 2}
+    path.write_text("{}")
+    with pytest.raises(ValueError, match="no schema"):
+        generation.load_schema(spark, str(path))
+    with pytest.raises(ValueError, match="bytes"):
+        generation.load_document(spark, str(path), most=1)
+    df = spark.createDataFrame([([("x", "1"), ("y", "2")], None)], "l array<struct<key:string,value:string>>, n string")
+    text = df.select(generation.filled("{{a}} {l}|{n}{{", l=generation.listing(F.col("l")), n=F.col("n")).alias("t")).first().t
+    assert text == "{a} - x: 1\n- y: 2|{"
+    with pytest.raises(ValueError, match="no block"):
+        generation.filled("{other}", l=F.col("l"))
