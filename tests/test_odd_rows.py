@@ -8,6 +8,25 @@ from oracle import same
 from reviewloom.plans import registry
 
 
+def test_means_are_summed_in_the_order_of_aspects(spark, tmp_path):
+    """Means whose last bit depends on the order of the sum rank alike however many reviews a task has.
+
+    Not held against the SQL, whose own sums change with DuckDB's threads from 40,000 reviews on.
+    """
+    n = 200_000
+    spark.range(0, n, 1, 1).selectExpr("id AS doc_id", "'t' AS text", "'en' AS lang", "'s' AS source").write.parquet(str(tmp_path / "documents.parquet"))
+    score = {}
+    for r in range(n):
+        probs = [(35000 + 65 * ((r * 31 + i * 17) % 1000)) / 100000.0 for i in range(20) if (r * 7 + i * 3) % 20 < 1 + r % 3]
+        total = 0.0
+        for p in probs:  # not sum(), which compensates
+            total += p
+        score[r] = total / len(probs)
+    want = {r: k for k, r in enumerate(sorted(score, key=lambda r: (-score[r], r)), 1)}
+    got = registry.QUERIES["q_faithfulness_quarters"](spark, str(tmp_path)).select("review_id", "rank").toPandas()
+    assert dict(zip(got["review_id"], got["rank"])) == want
+
+
 @pytest.mark.parametrize("title", ["The.", "an", "e", "1", "q", "Q x", "xx", "q" * 9, "", "...", None])
 def test_status_of_references_with_short_titles(spark, tmp_path, title):
     html = "NULL" if title is None else f"'<title>{title}</title>'"
