@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from reviewloom.functions.scores import clip
 from reviewloom.operators import metrics as M
 from reviewloom.operators.samples import hash_order, ranked
-from reviewloom.staging import stage
+from reviewloom.staging import shared_dir, stage
 
 
 class LogCounts(Transformer):
@@ -49,13 +50,20 @@ def tfidf(vocabulary: int = 5000, min_df: float = 1.0, sublinear: bool = False)
 
 
 def detector(train: DataFrame, label: str, rounds: int = 20) -> Callable[[DataFrame], DataFrame]:
-    """A scorer that adds prob: balanced logistic regression, or the constant if only one class was seen."""
+    """A scorer that adds prob: balanced logistic regression, or the constant if only one class was seen.
+
+    The model is written and read back, without the summary of its training: that holds the session, which can't be sent
+    to tasks any more once something was observed in it.
+    """
     of = train.agg(F.count(label).alias("n"), F.sum(label).alias("pos")).first()
     n, pos = of.n, of.pos or 0
     if not 0 < pos < n:
         return lambda df: df.withColumn("prob", F.lit(float(pos > 0)))
     weight = F.when(F.col(label) == 1, n / (2.0 * pos)).otherwise(n / (2.0 * (n - pos)))
     fitted = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", regParam=1.0 / n, maxIter=rounds).fit(train.where(F.col(label).isNotNull()).withColumn("weight", weight))
+    path = f"{shared_dir(train.sparkSession)}/detector-{uuid.uuid4().hex}"
+    fitted.save(path)
+    fitted = LogisticRegressionModel.load(path)
     return lambda df: fitted.transform(df).withColumn("prob", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
 

@@ -7,6 +7,7 @@ import math
 import re
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from reviewloom.functions import text
@@ -58,6 +59,15 @@ def test_transfer_tries_every_real_review(spark):
     assert len(fact) == 4 and all(r.y_pred == r.y_true for r in fact)
 
 
+def test_models_score_after_something_was_observed(spark):
+    seen = Observation()
+    spark.range(5).observe(seen, F.count("*").alias("n")).count()
+    assert seen.get == {"n": 5}
+    rows = spark.createDataFrame([(i, ("good clear talk", "long hard exam")[i % 2], 1 - i % 2) for i in range(40)], "review_id long, text string, y_a int")
+    features = models.tfidf().fit(rows).transform(rows)
+    assert all((r.prob > 0.5) == bool(r.y_a) for r in models.detector(features, "y_a")(features).collect())
+
+
 def test_titles(spark):
     cases = ["A. Who. 2020.  On Things . In Proc . 3", "no year here", "1875. Old. Not spaced", "", None]
     df = spark.createDataFrame([(c,) for c in cases], "t string")
