@@ -6,6 +6,8 @@ the same however rows are partitioned and however often a task runs.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,27 @@ def draw(seed: str, key: Column, place: Column | int = 0) -> Column:
     return bound((of_key + place.cast("long") * 7919) % _PRIME, lambda x: (x * x + place.cast("long")) % _PRIME)
 
 
+def _edits(text: str, start: int, most: int) -> str:
+    """``text`` with its edits; all places are drawn at once, and only those below ``most`` are looked at."""
+    place = np.arange(len(text), dtype=np.int64)
+    x = (start + place * 7919) % _PRIME
+    x = (x * x + place) % _PRIME  # below 2**62
+    out, done = [], 0
+    for i in np.flatnonzero(x % 10_000 < most).tolist():
+        if i < done or not text[i].isalpha():
+            continue
+        kind = x[i] // 10_000 % 3
+        if kind == 2:
+            if i % 2 or not text[i + 1 : i + 2].isalpha():
+                continue
+            new, after = text[i + 1] + text[i], i + 2
+        else:
+            new, after = text[i] * 2 * int(kind), i + 1
+        out += [text[done:i], new]
+        done = after
+    return "".join([*out, text[done:]])
+
+
 def edited(text: Column, key: Column, rate: float = 0.02, seed: str = "noise") -> Column:
     """``text`` with about ``rate`` of its letters dropped, doubled or swapped with the next letter.
 
@@ -32,29 +55,13 @@ def edited(text: Column, key: Column, rate: float = 0.02, seed: str = "noise") -
     a null key is a key of its own.
     """
     most = int(rate * 10_000)
-    letter = lambda c: F.regexp_like(c, F.lit(r"\A\p{L}\z"))
-
-    def spoiled(row: Column) -> Column:
-        chars, start = row["chars"], row["start"]
-
-        def number(i: Column) -> Column:
-            return bound((start + i.cast("long") * 7919) % _PRIME, lambda x: (x * x + i.cast("long")) % _PRIME)
-
-        def swaps(i: Column) -> Column:  # at an even place
-            n, nxt = number(i), F.coalesce(F.get(chars, i + 1), F.lit(""))
-            return (n % 10_000 < most) & (F.floor(n / 10_000) % 3 == 2) & letter(F.get(chars, i)) & letter(nxt)
-
-        def one(c: Column, i: Column) -> Column:
-            edit = (number(i) % 10_000 < most) & letter(c)
-            kind = F.floor(number(i) / 10_000) % 3
-            alone = F.when(edit & (kind == 0), F.lit("")).when(edit & (kind == 1), F.concat(c, c)).otherwise(c)
-            even = F.when(swaps(i), F.concat(F.get(chars, i + 1), c)).otherwise(alone)
-            return F.when(i % 2 == 0, even).otherwise(F.when(swaps(i - 1), F.lit("")).otherwise(alone))
 
-        return F.array_join(F.transform(chars, one), "")
+    @F.pandas_udf("string")
+    def spoiled(texts: pd.Series, starts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _edits(t, s, most) for t, s in zip(texts, starts)], dtype=object)
 
     start = F.conv(F.left(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary")), F.lit(8)), 16, 10).cast("long") % _PRIME
-    return F.when(text.isNotNull(), bound(F.struct(F.split(text, "").alias("chars"), start.alias("start")), spoiled))
+    return spoiled(text, start)
 
 
 def casual(text: Column, style: Column, key: Column, seed: str = "casual") -> Column:

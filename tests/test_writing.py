@@ -139,3 +139,8 @@ def test_impossible_shares_are_refused():
         C.fit([{"a": 1.0, "b": 1.0}, {"x": 1.0}], lambda one, other: one == "a")
     with pytest.raises(ValueError, match="marginals"):
         C.fit([{"a": 0.5, "b": 0.5}, {"x": 0.1, "y": 0.9}], lambda one, other: (one, other) != ("a", "y"), rounds=200)
+
+
+def test_noise_draws_all_places_of_a_text_at_once(spark):
+    rows = spark.createDataFrame([(1, "some text")], "k long, s string").select(noise.edited(F.col("s"), F.col("k")).alias("c"))
+    assert "lambda" not in rows._jdf.queryExecution().toString()  # none that is interpreted for each character
