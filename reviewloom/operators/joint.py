@@ -10,7 +10,7 @@ and training stops when it does so for long; the best weights count.
 
 Rows are dealt to tasks once, by their ids.  In an epoch each task takes small
 batches of its own rows from the same weights; the tasks' results are averaged
-by their rows, first in a few groups, then on the driver, which holds FAN_IN
+by their rows, FAN_IN at a time in as many rounds as it takes, then on the driver, which holds FAN_IN
 copies of the weights and no rows.  What an epoch ends with is written, so a killed run
 resumes with the last one and comes to the same weights.
 """
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.operators import metrics as M
+from reviewloom.pieces import pieces
 from reviewloom.staging import stage
 
 FAN_IN = 8
@@ -65,7 +66,7 @@ def featured(rows: DataFrame, aspects: list[str], buckets: int) -> DataFrame:
     bare = rows.select("review_id", F.col("text").cast("string").alias("text"), F.array(*[number(f"y_{a}", "double") for a in aspects]).alias("y"), F.array(*[number(f"s_{a}", "double") for a in aspects]).alias("s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             bags = [_bag(t, buckets) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k for k, _ in bags], pa.list_(pa.int32())), pa.array([v for _, v in bags], pa.list_(pa.float64())), b.column(2), b.column(3)], names=["review_id", "at", "value", "y", "s"])
 
@@ -145,7 +146,7 @@ def epoch(dealt: DataFrame, w: Weights, idf: np.ndarray, weight: np.ndarray, rat
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([_packed(own)])], names=["n", "weights"])
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = sorted(((r["slot"], r["n"], r["weights"]) for b in batches for r in b.to_pylist()), key=lambda r: r[0])
+        found = sorted(((r["slot"], r["n"], r["weights"]) for b in batches for r in b.to_pylist()), key=lambda r: r[0])  # FAN_IN at most
         total, sums = 0, None
         for _, n, data in found:
             part = _unpacked(data)
@@ -154,8 +155,13 @@ def epoch(dealt: DataFrame, w: Weights, idf: np.ndarray, weight: np.ndarray, rat
         if total:
             yield pa.RecordBatch.from_arrays([pa.array([found[0][0]]), pa.array([total]), pa.array([_packed({k: v / total for k, v in sums.items()})])], names=["slot", "n", "weights"])
 
-    each = dealt.mapInArrow(train, "n long, weights binary").select(F.spark_partition_id().cast("long").alias("slot"), "n", "weights")
-    groups = each.repartition(min(FAN_IN, dealt.rdd.getNumPartitions()), F.col("slot") % FAN_IN).mapInArrow(mean, "slot long, n long, weights binary").collect()  # FAN_IN rows at most
+    made = dealt.mapInArrow(train, "n long, weights binary").select(F.spark_partition_id().cast("long").alias("slot"), "n", "weights")
+    left, first = dealt.rdd.getNumPartitions(), True
+    while first or left > FAN_IN:  # a task gets FAN_IN weights at most, however many rows are trained on
+        left, first = min(left, max(FAN_IN, -(-left // FAN_IN))), False
+        met = made.repartitionById(left, F.col("slot").cast("int") % left)
+        made = met.mapInArrow(mean, "slot long, n long, weights binary").select(F.spark_partition_id().cast("long").alias("slot"), "n", "weights")
+    groups = made.collect()  # FAN_IN rows at most
     if not groups:
         return w
     groups.sort(key=lambda r: r.slot)  # sums of floats in one order
@@ -171,7 +177,7 @@ def scored(rows: DataFrame, w: Weights, idf: np.ndarray, aspects: list[str]) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _unpacked(sent.value)
-        for b in batches:
+        for b in pieces(batches):
             part = Rows(b, idf)
             _, p, feel = part.outputs(held)
             wide = pa.list_(pa.float64())
