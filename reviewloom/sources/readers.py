@@ -7,10 +7,12 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewloom.functions.text import collapse_repeats, collapse_space, word_count
+from reviewloom.pieces import pieces
 
 CORRUPT = "_corrupt"
 
@@ -143,16 +145,18 @@ def html_cards(pages: DataFrame, key: str = "page_id", html: str = "html", least
     """
     kind = dict(pages.dtypes)[key]
 
-    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches):
             rows = []
-            for k, page in zip(part[key], part[html]):
+            for at, page in enumerate(part.column(1).to_pylist()):
                 parser = _Cards()
                 parser.feed(page or "")
-                rows += [(k, i, *card) for i, card in enumerate(parser.cards)]
-            yield pd.DataFrame(rows, columns=[key, "ord", "header", "text", "markup"])
+                rows += [(at, i, *card) for i, card in enumerate(parser.cards)]
+            columns = list(zip(*rows)) or [()] * 5
+            keys = part.column(0).take(pa.array(columns[0], pa.int32()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(columns[1], pa.int32()), *[pa.array(c, pa.string()) for c in columns[2:]]], names=[key, "ord", "header", "text", "markup"])
 
-    cards = pages.select(key, html).mapInPandas(parse, f"{key} {kind}, ord int, header string, text string, markup string")
+    cards = pages.select(key, F.col(html).cast("string").alias(html)).mapInArrow(parse, f"{key} {kind}, ord int, header string, text string, markup string")
     header = collapse_space(F.col("header"))
     semester = F.coalesce(F.nullif(F.regexp_extract("markup", r"get_semester_name\('([^']+)'\)", 1), F.lit("")), header)
     clean = cards.select(key, "ord", header.alias("header"), semester.alias("semester"), collapse_repeats(collapse_space(F.col("text"))).alias("text")).where(word_count(F.col("text")) >= least_words)
