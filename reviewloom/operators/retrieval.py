@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from bisect import insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from reviewloom.dims import OPINION_CODES
 from reviewloom.functions.text import token_set
+from reviewloom.pieces import pieces
 
 
 #: Bytes of query tokens that every task may hold.
@@ -59,32 +63,33 @@ def _best_by_scan(q: DataFrame, pool: DataFrame, k: int) -> DataFrame:
             postings.setdefault(t, []).append(i)
     shared = q.sparkSession.sparkContext.broadcast((ids, {t: np.array(p, np.int32) for t, p in postings.items()}))
     kinds = dict(q.dtypes)["query_id"], dict(pool.dtypes)["doc_id"]
+    types = [to_arrow_type(q.schema["query_id"].dataType), to_arrow_type(pool.schema["doc_id"].dataType), pa.int64()]
 
     def rank(hit: tuple) -> tuple:  # nulls first, as Spark sorts them
         return -hit[0], hit[1] is not None, hit[1]
 
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, postings = shared.value
         best: list[list[tuple]] = [[] for _ in ids]  # (overlap, doc_id), the best first
         least = np.ones(len(ids), np.int64)  # overlaps below don't enter
-        for part in parts:
-            for doc, tokens in zip(part["doc_id"].astype(object).where(part["doc_id"].notna(), None), part["tokens"]):
-                met = [postings[t] for t in tokens if t in postings]
-                if not met:
-                    continue
-                overlap = np.bincount(np.concatenate(met), minlength=len(ids))
-                for i in np.flatnonzero(overlap >= least):
-                    mine, new = best[i], (int(overlap[i]), doc)
-                    if len(mine) < k or rank(new) < rank(mine[-1]):
-                        insort(mine, new, key=rank)
-                        del mine[k:]
-                        if len(mine) == k:
-                            least[i] = mine[-1][0]
+        for doc, tokens in chain.from_iterable(zip(*(c.to_pylist() for c in b.columns)) for b in pieces(batches)):
+            met = [postings[t] for t in tokens if t in postings]
+            if not met:
+                continue
+            overlap = np.bincount(np.concatenate(met), minlength=len(ids))
+            for i in np.flatnonzero(overlap >= least):
+                mine, new = best[i], (int(overlap[i]), doc)
+                if len(mine) < k or rank(new) < rank(mine[-1]):
+                    insort(mine, new, key=rank)
+                    del mine[k:]
+                    if len(mine) == k:
+                        least[i] = mine[-1][0]
         out = [(ids[i], doc, n) for i, mine in enumerate(best) for n, doc in mine]
-        yield pd.DataFrame(out, columns=["query_id", "doc_id", "overlap"])
+        columns = list(zip(*out)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["query_id", "doc_id", "overlap"])
 
     tokens = F.coalesce(token_set(F.col("text")), F.array().cast("array<string>"))
-    return pool.select("doc_id", tokens.alias("tokens")).mapInPandas(count, f"query_id {kinds[0]}, doc_id {kinds[1]}, overlap long")
+    return pool.select("doc_id", tokens.alias("tokens")).mapInArrow(count, f"query_id {kinds[0]}, doc_id {kinds[1]}, overlap long")
 
 
 def contained(spans: DataFrame, marks: DataFrame, width: int = 256) -> DataFrame:
