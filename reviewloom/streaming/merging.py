@@ -27,38 +27,35 @@ class MergePlans(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.shards = handle.getListState("shards", "shard long, path string, n_rows long")
-        self.known = handle.getValueState("known", "n_shards long, told boolean, timer long")
+        # one value, as each call of a state is a message between Python and the JVM
+        self.known = handle.getValueState("known", "n_shards long, told boolean, timer long, shards array<struct<shard:long,path:string,n_rows:long>>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # type: ignore[no-untyped-def]
-        total, told, timer = self.known.get() if self.known.exists() else (0, False, -1)
-        part = pd.concat(list(rows))
+        total, told, timer, known = self.known.get() or (0, False, -1, [])
         if told:
             return
-        held = [tuple(x) for x in self.shards.get()] if self.shards.exists() else []
-        seen = {int(x[0]) for x in held}
-        part = part.sort_values(["at", "path"])
-        for shard, path, n in zip(part["shard"], part["path"], part["n_rows"]):
+        columns = ["at", "path", "shard", "n_rows", "n_shards"]
+        new = sorted((r for part in rows for r in zip(*(part[c].tolist() for c in columns))), key=lambda r: (r[0], r[1] is None, r[1] or ""))
+        held = [(int(s), p, int(n)) for s, p, n in known]
+        seen = {x[0] for x in held}
+        for _, path, shard, n, _ in new:
             if int(shard) not in seen:
                 seen.add(int(shard))
                 held.append((int(shard), path, int(n)))
-        total = max(int(total), int(part["n_shards"].max()))
-        self.shards.put(held)
-        if timer < 0:
-            timer = int(part["at"].min().timestamp() * 1000) + self.wait_ms
-            self.handle.registerTimer(max(timer, timerValues.getCurrentWatermarkInMs() + 1))
+        total = max(int(total), *(int(r[4]) for r in new))
         done = len(seen) >= total
-        self.known.update((total, done, timer))
+        if not done and timer < 0:  # a run that is whole at once never waits
+            timer = int(new[0][0].timestamp() * 1000) + self.wait_ms
+            self.handle.registerTimer(max(timer, timerValues.getCurrentWatermarkInMs() + 1))
+        self.known.update((total, done, timer, [] if done else held))
         if done:
             yield self._plan(key[0], held, "merged")
-            self.shards.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # type: ignore[no-untyped-def]
-        total, told, timer = self.known.get()
+        total, told, timer, known = self.known.get()
         if not told:
-            self.known.update((total, True, timer))
-            yield self._plan(key[0], [tuple(x) for x in self.shards.get()], "timeout")
-            self.shards.clear()
+            self.known.update((total, True, timer, []))
+            yield self._plan(key[0], [tuple(x) for x in known], "timeout")
 
     def _plan(self, run: str, held: list[tuple], state: str) -> pd.DataFrame:
         rows, before = [], 0

@@ -7,6 +7,7 @@ import os
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,26 @@ def test_shards_merge_once_in_order(spark, tmp_path):
     rows = spark.createDataFrame([("a", s, q, f"{s}.{q}") for s in (1, 2, 3) for q in range(10 * s)] + [("b", 1, 0, "x")], "run_id string, shard long, seq long, line string")
     got = sorted((r.row_number, r.line) for r in merging.merged(rows, spark.read.parquet(str(tmp_path / "out"))).collect())
     assert got == list(enumerate(f"{s}.{q}" for s in (1, 2, 3) for q in range(10 * s)))
+
+
+def test_a_run_that_is_whole_at_once_sets_no_timer():
+    class Handle:  # counts what would be messages to the JVM
+        calls: list = []
+
+        def getValueState(self, *_):
+            calls = self.calls
+
+            class State:
+                get = lambda self: calls.append("get")
+                update = lambda self, value: calls.append(value)
+
+            return State()
+
+        registerTimer = calls.append
+
+    plans = merging.MergePlans(1000)
+    plans.init(Handle())
+    rows = pd.DataFrame({"shard": [1, 0], "n_shards": [2, 2], "path": ["b", "a"], "n_rows": [3, 4], "at": pd.to_datetime(["2024-01-02", "2024-01-01"])})
+    (plan,) = plans.handleInputRows(("r",), iter([rows]), None)
+    assert plan[["shard", "first_row", "state"]].values.tolist() == [[0, 0, "merged"], [1, 4, "merged"]]
+    assert Handle.calls == ["get", (2, True, -1, [])]
