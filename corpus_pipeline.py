@@ -19,7 +19,10 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays; links are five-word shingles at similarity 0.8 or more."""
+    """One document of each near-duplicate component stays; links are five-word shingles at similarity 0.8 or more.
+
+    Candidates are the links of SimHash balls, verified on the shingles; MinHash adds those at 0.8 that lie beyond the balls.
+    """
     return simhash.keep_one(docs, words=5, similarity=0.8)
 
 

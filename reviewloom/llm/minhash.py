@@ -1,13 +1,15 @@
-"""Near copies by Jaccard similarity: MinHash bands find candidates, the texts themselves decide.
+"""Near copies by Jaccard similarity: the links of SimHash balls and MinHash bands are candidates, the texts themselves decide.
 
 Shingles are runs of ``words`` words as in ``simhash`` (fewer words: the whole
 sequence; none: no shingle, and such texts are copies of each other), as a set.
 A signature is BANDS keys of ROWS minima each; a pair at similarity 0.8 shares
-a key with chance 1 - (1 - 0.8**5)**20 = 0.9996.  SimHash balls don't serve
-here: at 0.8 two fingerprints are about ten of 64 bits apart.
+a key with chance 1 - (1 - 0.8**5)**20 = 0.9996.  At 0.8 two SimHashes are about
+ten of 64 bits apart, so the balls (``simhash.ball_pairs``) reach the close
+copies, and the bands what lies further off.
 
-Two ways find the candidates, and every candidate pair is verified on the exact
-sets of shingles.
+Every candidate pair is verified on the exact sets of shingles, and the
+components are those of all verified pairs.  Pairs of the balls come as given;
+the bands have two ways to find theirs.
 
 Texts that share a key are first compared with pivots of that key, not all with
 all: the members are dealt to PIVOTS classes by a hash of key and text, and the
@@ -78,8 +80,11 @@ def jaccard(a: set, b: set) -> float:
     return both / (len(a) + len(b) - both) if a or b else 1.0
 
 
-def groups(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(node, root) of the texts that are linked at the similarity or above, by digests; ``texts`` has the columns digest and text."""
+def groups(texts: DataFrame, words: int, similarity: float, candidates: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the texts that are linked at the similarity or above, by digests; ``texts`` has the columns digest and text.
+
+    ``candidates`` are pairs (a, b) of digests that are verified too.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, part in slices(batches, "text"):
@@ -96,7 +101,8 @@ def groups(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     pivots = stage(ranked.groupBy("key").agg(F.array(*best).alias("best")), "pivots")
     met = members.select("key", "digest").join(pivots, "key").select("digest", F.explode("best").alias("best"))
     met = met.select("digest", F.col("best.digest").alias("pivot")).where("pivot IS NOT NULL AND digest <> pivot")
-    pairs = stage(met.select(F.least("digest", "pivot").alias("a"), F.greatest("digest", "pivot").alias("b")).distinct(), "pairs")
+    met = met.select(F.least("digest", "pivot").alias("a"), F.greatest("digest", "pivot").alias("b"))
+    pairs = stage((met if candidates is None else met.union(candidates.select("a", "b"))).distinct(), "pairs")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Memo(lambda t: shingles(t, words), 64)

@@ -140,12 +140,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(of, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def ball_pairs(texts: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """Pairs (a, b) of digests of different texts that the ball hashing links; ``texts`` has the columns digest and text.
+
+    The least text of a fingerprint stands for it: the others meet this one,
+    and the texts that stand for two linked fingerprints meet each other.
+    """
+    fps = stage(fingerprints(texts, "digest", "text", words).distinct(), "fingerprints")
+    least = stage(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct")
+    equal = fps.join(least.where("n > 1"), "fp").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    of = lambda fp, x: least.select(F.col("fp").alias(fp), F.col("least").alias(x))
+    linked = links(least.select("fp")).join(of("fp", "x"), "fp").join(of("center", "y"), "center")
+    return equal.union(linked.select(F.least("x", "y"), F.greatest("x", "y")))
+
+
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float | None = None) -> DataFrame:
     """``docs`` with one row of each near-duplicate component, all columns unchanged.
 
     Without a similarity, texts link as in ``near_duplicates``, by shingles of
     ``words`` words; with one, their sets of such shingles have that Jaccard
-    similarity or more (see ``minhash``).  The row that stays has the least
+    similarity or more: the texts that the ball hashing links are verified on
+    these sets, and what lies beyond its radius is added by ``minhash``.  The
+    row that stays has the least
     (doc_id, digest of the text) of its component, null ids last.  Of rows with
     that id and that text one stays; a doc_id with texts in several components
     stays in each where it is least.
@@ -158,7 +174,7 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float | No
         roots = components(links(fps.select("fp").distinct()), "fp", "center")
         of = fps.join(roots, fps.fp == roots.node, "left").select(F.col("id").alias("node"), F.coalesce("root", "fp").cast("string").alias("root"))
     else:
-        of = minhash.groups(texts, words, similarity).select("node", F.hex("root").alias("root"))
+        of = minhash.groups(texts, words, similarity, ball_pairs(texts, words)).select("node", F.hex("root").alias("root"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("first")
     rows = docs_with.groupBy(F.col(digest).alias("digest")).agg(first)  # one row to a text, however many copies it has
     rows = rows.join(of, rows.digest == of.node, "left").withColumn("root", F.coalesce("root", F.hex("digest")))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import os
 import random
 import sys
@@ -108,3 +109,22 @@ def test_links_equal_all_pairs(spark):
             changed |= want[a] != least or want[b] != least
             want[a] = want[b] = least
     assert {d: roots.get(d, d) for d in digests} == want and len(edges) > 60
+
+
+def test_the_stage_verifies_what_simhash_balls_link(spark, sf, monkeypatch):
+    draw = random.Random(8)
+    rows = []
+    for base in range(15):
+        text = [f"w{draw.random()}" for _ in range(400)]
+        rows += [(10 * base, " ".join(text)), (10 * base + 1, "  ".join(text)), (10 * base + 2, " ".join([*text[:-1], "other"]))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    text_of = {hashlib.md5(t.encode()).digest(): (i, t) for i, t in rows}
+    fp = {i: simhash.fingerprint(t.encode(), 5) for i, t in rows}
+    seen, groups = [], minhash.groups
+    monkeypatch.setattr(minhash, "groups", lambda texts, words, similarity, candidates: seen.append(candidates) or groups(texts, words, similarity, candidates))
+    assert {r.doc_id for r in P.near_dedup(spark, docs, sf).collect()} == set(range(0, 150, 10))
+    linked = {tuple(sorted(text_of[bytes(d)][0] for d in r)) for r in seen[0].collect()}
+    assert all((fp[a] ^ fp[b]).bit_count() <= 3 for a, b in linked) and len(linked) >= 15
+    for base in range(0, 150, 10):  # texts of one fingerprint, and of two within the radius, come together
+        near = {i for i in (base, base + 1, base + 2) if (fp[i] ^ fp[base]).bit_count() <= 3}
+        assert base + 1 in near and near <= {i for pair in linked if pair[0] // 10 == base // 10 for i in pair}
