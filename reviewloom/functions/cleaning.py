@@ -1,7 +1,8 @@
 """Cleaning of generated reviews: quotes, preambles, notes, closers, cut endings and cut beginnings.
 
 All of it is column functions, so it stays inside the JVM; where a value is
-needed twice it is bound once by a lambda's argument.
+needed twice it is bound once by a lambda's argument.  Ends are trimmed and rare
+phrases looked for without regular expressions, which try every character.
 """
 
 from __future__ import annotations
@@ -23,6 +24,12 @@ LOOSE_ENDS = (
 #: What is left of a cut contraction at the beginning, and the words it stands for.
 CUT_STARTS = [("m", "I'm"), ("s", "It's"), ("re", "They're"), ("t", "Didn't")]
 
+#: The characters of Unicode's property White_Space, which (?U)\s matches.
+_LATIN, _WIDE = ("".join(map(chr, codes)) for codes in ([*range(9, 14), 32, 0x85, 0xA0], [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+WHITE = _LATIN + _WIDE
+#: Java looks Latin characters up in a table, and others only within the range up to the last.
+_WHITES = f"[{_LATIN}[\u1680-\u3000&&[{_WIDE}]]]+"
+
 
 def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     """f(value), with the value computed once however often f uses it."""
@@ -30,11 +37,16 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    return F.filter(F.split(text, _WHITES), lambda w: w != "")
+
+
+def _before(remark: str) -> Callable[[Column], Column]:
+    """What stands before a remark in any case, of a stripped text; only texts that have it are searched for where."""
+    return lambda text: F.when(F.contains(F.lower(text), F.lit(remark.lower())), _stripped(F.regexp_replace(text, rf"(?is){remark}.*\z", ""))).otherwise(text)
 
 
 def _without_loose_ends(text: Column) -> Column:
@@ -43,7 +55,8 @@ def _without_loose_ends(text: Column) -> Column:
 
     def cut(words: Column) -> Column:
         last = F.array_max(F.transform(words, lambda w, i: F.when(~ends(w), i + 1)))
-        return F.array_join(F.slice(words, F.lit(1), F.coalesce(last, F.lit(0))), " ")
+        kept = F.slice(words, F.lit(1), F.coalesce(last, F.lit(0)))
+        return F.array_join(F.when(ends(F.try_element_at(words, F.lit(-1))), kept).otherwise(words), " ")
 
     return bound(_words(text), cut)
 
@@ -67,10 +80,10 @@ def clean_generated(text: Column) -> Column:
     s = _stripped(F.regexp_replace(s, r"(?is)\(Note:.*\)\z", ""))
     s = _stripped(F.regexp_replace(s, rf"(?is)\((?:{one_of(REMARKS)}).*\)\z", ""))
     for closer in CLOSERS:
-        s = _stripped(F.regexp_replace(s, rf"(?is){closer}.*\z", ""))
-    s = _without_loose_ends(s)
+        s = bound(s, _before(closer))
+    s = _without_loose_ends(s)  # from here on single spaces part the words
     for start, whole in CUT_STARTS:
-        s = _stripped(F.regexp_replace(s, rf"\A'?{start}\s", f"{whole} "))
+        s = F.regexp_replace(s, rf"\A'?{start}\s", f"{whole} ")
     s = F.regexp_replace(s, r"\Ad ", "Didn't ")
-    s = F.regexp_replace(s, r"""\A["' ,.\-]+|["' ,.\-]+\z""", "")
-    return _stripped(F.regexp_replace(F.array_join(_words(s), " "), r"(?U)\b(?:Dr|Prof)\.?\z", ""))
+    s = F.btrim(s, F.lit("\"' ,.-"))
+    return _stripped(F.regexp_replace(s, r"(?U)(?=Dr|Prof)\b(?:Dr|Prof)\.?\z", ""))

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from reviewloom.functions import noise, text
+from reviewloom.functions import cleaning, noise, text
 from reviewloom.functions.cleaning import clean_generated
 from reviewloom.operators import constraints as C
 
@@ -144,3 +144,14 @@ def test_impossible_shares_are_refused():
 def test_noise_draws_all_places_of_a_text_at_once(spark):
     rows = spark.createDataFrame([(1, "some text")], "k long, s string").select(noise.edited(F.col("s"), F.col("k")).alias("c"))
     assert "lambda" not in rows._jdf.queryExecution().toString()  # none that is interpreted for each character
+
+
+def test_white_space_is_what_the_unicode_class_matches(spark):
+    marks = [chr(c) for c in (*range(1, 0x3100), 0xFEFF, 0x1F600)]
+    df = spark.createDataFrame([(m, f"{m}word{m} {m}next{m}{m}") for m in marks], "m string, t string")
+    old = F.array_join(F.filter(F.split("t", r"(?U)\s+"), lambda w: w != ""), "|")
+    stripped = F.regexp_replace("t", r"(?U)\A\s+|\s+\z", "")
+    wrong = df.where((F.array_join(cleaning._words(F.col("t")), "|") != old) | (cleaning._stripped(F.col("t")) != stripped))
+    assert wrong.count() == 0
+    whole = str(spark.range(1).select(clean_generated(F.lit("x")).alias("s"))._jdf.queryExecution().logical())
+    assert r"\s+\z" not in whole and r"(?U)\s+" not in whole  # tried at every character, in each of 13 steps
