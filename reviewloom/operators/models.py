@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import Pipeline, Transformer
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.scores import clip
 from reviewloom.operators import metrics as M
+from reviewloom.operators import terms
 from reviewloom.operators.samples import hash_order, ranked
 from reviewloom.staging import shared_dir, stage
 
@@ -81,8 +82,8 @@ def two_step(train: DataFrame, held: DataFrame, test: DataFrame, aspects: list[s
 
     Rows: (review_id, text, y_<aspect> and optionally s_<aspect>).
     """
-    features: PipelineModel = tfidf(vocabulary, min_df, sublinear).fit(train)
-    fit, calibration, rest = (stage(features.transform(x), "features") for x in (train, held, test))  # every aspect reads them
+    features = terms.fit(train, vocabulary, min_df, sublinear)
+    fit, calibration, rest = map(features, (train, held, test))  # every aspect reads them
     out = None
     for a in aspects:
         label, sentiment = f"y_{a}", f"s_{a}"

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import json
 import math
+import random
 import re
+from collections import Counter
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from reviewloom.functions import text
-from reviewloom.operators import models, prompting, retrieval, samples, summaries, transfer
+from reviewloom.operators import models, prompting, retrieval, samples, summaries, terms, transfer
 from reviewloom.sources import writers
 
 KINDS = "file string, kind string, begin int, end int, aspect_raw string, opinion_raw string"
@@ -185,3 +188,41 @@ def test_reports_and_artifacts(spark, tmp_path):
         assert line == value if suffix == "txt" else json.loads(line) == value
     assert spark.read.option("header", True).csv(writers.write_artifact(spark, df, str(tmp_path / "frame"))).count() == 3
     assert len({writers.RunStore.fresh_id("run") for _ in range(5)}) == 5
+
+
+def test_terms_weigh_as_the_pipeline_of_pyspark_does(spark):
+    words = ["red", "Blue", "a", "green_2", "straße", "İx", "été", "𠀀", "42", "red,blue", "x-y zz"]
+    rows = [(i, " ".join(words[(i * k + k // 3) % len(words)] for k in range(i % 9))) for i in range(60)] + [(60, None), (61, "")]
+    df = spark.createDataFrame(rows, "review_id long, text string")
+    filled = df.fillna({"text": ""})
+    for sublinear, min_df in ((False, 1.0), (True, 3.0), (False, 0.2)):
+        want = {r.review_id: sorted(x for x in r.features.toArray() if x) for r in models.tfidf(5000, min_df, sublinear).fit(filled).transform(filled).collect()}
+        got = {r.review_id: sorted(x for x in r.features.toArray() if x) for r in terms.fit(df, 5000, min_df, sublinear)(df).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    most = spark.createDataFrame([("b b b a1 a1 c c",)], "text string")
+    assert {(r.tf, r.df) for r in terms.counts(most.withColumn("text", F.regexp_replace("text", r"\b([bc])\b", "$1$1")), 2).collect()} == {(3, 1), (2, 1), (1, 1)}
+    few = terms.fit(filled, 3)(filled).where("review_id = 8").first().features
+    assert few.size == 3
+    assert terms.fit(df.limit(0))(df).count() == 62
+
+
+def test_two_step_cuts_no_text_in_the_jvm(spark, monkeypatch):
+    monkeypatch.setattr(models, "tfidf", lambda *a, **k: pytest.fail("texts were tokenised once for each step of a pyspark pipeline"))
+    rows = [(i, ("good clear talk", "long hard exam")[i % 2], 1 - i % 2, 0.5 * (i % 4) if i % 2 == 0 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "review_id long, text string, y_a int, s_a double")
+    fact = models.two_step(df, df, df, ["a"]).collect()
+    assert len(fact) == 60 and all(r.y_pred == r.y_true for r in fact)
+
+
+def test_a_full_table_of_terms_is_sent_on(spark):
+    draw = random.Random(3)
+    df = spark.createDataFrame([(" ".join(f"w{draw.randrange(400)}" for _ in range(200)),) for _ in range(1500)], "text string").coalesce(1)
+    want = Counter(t for r in df.collect() for w in [r.text.split()] for t in [*w, *zip(w, w[1:])])
+    full, terms.TABLE = terms.TABLE, 1 << 12  # read in tasks, so it is put into what is sent there
+    try:
+        cloudpickle.register_pickle_by_value(terms)
+        got = terms.counts(df, 3).collect()
+    finally:
+        cloudpickle.unregister_pickle_by_value(terms)
+        terms.TABLE = full
+    assert sorted(r.tf for r in got) == sorted(want.values()) and sum(r.df for r in got) < sum(r.tf for r in got)
