@@ -33,7 +33,8 @@ TABLE, _BATCH, ROWS = 1 << 21, 1 << 16, 2048  # rows of a task's table and of wh
 def _terms(texts: list[bytes], known: Memo) -> tuple[np.ndarray, np.ndarray]:
     """(text's place, term) of every word and pair of neighbours."""
     words = [_WORD.findall(t.decode("utf-8", "replace").lower()) for t in texts]
-    h = np.array([known[w] for part in words for w in part], np.uint64)
+    coded = pa.array([w for part in words for w in part], pa.string()).dictionary_encode()  # each word is hashed once
+    h = np.array([known[w] for w in coded.dictionary.to_pylist()], np.uint64)[coded.indices.to_numpy()]
     row = np.repeat(np.arange(len(texts)), [len(part) for part in words])
     same = np.flatnonzero(row[1:] == row[:-1])
     pairs = h[same] * _FIRST + h[same + 1] * _SECOND
