@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from oracle import same
+from oracle import connect, same
 
 from reviewloom.plans import registry
 
@@ -27,6 +27,16 @@ def test_means_are_summed_in_the_order_of_aspects(spark, tmp_path):
     assert dict(zip(got["review_id"], got["rank"])) == want
 
 
+def test_ranks_are_those_of_the_sql_on_one_thread(spark, tmp_path):
+    """On four threads and more the SQL's own ranks change from run to run at this size."""
+    spark.range(0, 260_000, 1, 1).selectExpr("id AS doc_id", "'t' AS text", "'en' AS lang", "'s' AS source").write.parquet(str(tmp_path / "d"))
+    next(p for p in (tmp_path / "d").iterdir() if p.suffix == ".parquet").rename(tmp_path / "documents.parquet")
+    name, con = "q_faithfulness_quarters", connect(str(tmp_path))
+    con.execute("SET threads = 1")
+    got, want = (df.sort_values("review_id").reset_index(drop=True) for df in (registry.QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(registry.ORACLE_SQL[name]).df()))
+    assert got.eq(want[list(got.columns)]).all(axis=None) and len(got) == 260_000
+
+
 @pytest.mark.parametrize("title", ["The.", "an", "e", "1", "q", "Q x", "xx", "q" * 9, "", "...", None])
 def test_status_of_references_with_short_titles(spark, tmp_path, title):
     html = "NULL" if title is None else f"'<title>{title}</title>'"
