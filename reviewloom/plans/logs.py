@@ -93,11 +93,9 @@ FROM s JOIN r USING (run_id), m WHERE n = {_OF_RUN} OR epoch_ms(began) + 2 * 864
 def merged_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merge plans of runs of seven shards each, some of which never come, in order; runs that waited two days time out."""
     e = event_stream(spark, sf_dir).where(F.col("event_id") % _LOST != 0)
-    run = F.floor(F.col("event_id") / _OF_RUN).cast("string")
+    run = F.expr(f"event_id div {_OF_RUN}").cast("string")
     shards = e.select(run.alias("run_id"), (F.col("event_id") % _OF_RUN).alias("shard"), F.lit(_OF_RUN).cast("long").alias("n_shards"), F.concat(F.lit("shard-"), "event_id").alias("path"), F.floor("value").alias("n_rows"), F.col("ts").alias("at"))
-    root = f"{shared_dir(spark)}/merge-{uuid.uuid4().hex}"
-    merging.merge_plans(shards).writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(merging.PLAN).parquet(f"{root}/out").drop("path")
+    return merging.Merges(spark, f"{shared_dir(spark)}/merge-{uuid.uuid4().hex}").run(shards).drop("path")
 
 
 @query("q_stage_log", """WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '[ \\x09-\\x0D]+')) AS word FROM documents), t AS (SELECT doc_id, word FROM w WHERE word <> ''), c AS (SELECT word, count(*) AS n FROM t GROUP BY word)

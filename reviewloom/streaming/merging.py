@@ -1,9 +1,13 @@
-"""Ordered merge of shards once all of a run's are there, as a stateful stream.
+"""Ordered merge of shards once all of a run's are there, as a stream.
 
-The state of a run is a list of what is known of its shards (number, place,
-rows), not their rows, and an event-time timer.  When the last shard comes the merge
-plan goes out: a row for each shard, in the shards' order, with the number of
-rows before it.  The rows themselves are numbered by a join with the plan.
+When the last shard of a run comes its merge plan goes out: a row for each shard,
+in the shards' order, with the number of rows before it.  The rows themselves are
+numbered by a join with the plan.  What is kept of a run that waits is what is
+known of its shards (number, place, rows), not their rows.
+
+``Merges`` judges all runs of a micro-batch at once, for many runs.  ``merge_plans`` keeps
+each run in a state of its own with an event-time timer, for plans that a
+streaming sink takes: some milliseconds of Python a run.
 """
 
 from __future__ import annotations
@@ -15,7 +19,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from reviewloom.streaming.monitor import Batches
+
 PLAN = "run_id string, shard long, path string, n_rows long, first_row long, state string"
+HELD = f"{PLAN}, n_shards long, at timestamp"  # the most shards named, and the first time of the run
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -83,6 +90,76 @@ def merge_plans(shards: DataFrame, wait: str = "2 days", wait_ms: int = 2 * 86_4
     return rows.groupBy("run_id").transformWithStateInPandas(MergePlans(wait_ms), PLAN, "Append", "EventTime")
 
 
+class Merges(Batches):
+    """The merge plans of a stream's runs, with what merge_plans says of them.
+
+    A micro-batch writes its runs' shards once, those of whole runs as plans and
+    the others as waiting; the next takes them up again with its own.  A run
+    waits ``wait_ms`` from its first shard on, by times ``late_ms`` behind the
+    latest of all.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, wait_ms: int = 2 * 86_400_000, late_ms: int = 2 * 86_400_000):
+        super().__init__(spark, root)
+        self.wait_ms, self.late_ms = wait_ms, late_ms
+
+    def take(self, shards: DataFrame, number: int) -> None:
+        """A micro-batch of shards (run_id, shard, n_shards, path, n_rows, at); the same number again changes nothing."""
+        path = f"{self.root}/batches/batch={number}"
+        if self._done(path):
+            return
+        new = shards.where("run_id IS NOT NULL AND shard IS NOT NULL").withColumn("again", F.lit(1))
+        before = [n for n in self._list("batches") if n < number]
+        times = new.select("at")
+        if before:
+            times = times.unionByName(self._read("latest", "at timestamp", before[-1:]))
+            held = self._read("batches", HELD, before[-1:]).where("state = 'waiting'").drop("state", "first_row").withColumn("again", F.lit(0))
+            new = held.unionByName(new).join(self.plans(number).select("run_id"), "run_id", "left_anti")
+        self._write(times.agg(F.max("at").alias("at")), f"{self.root}/latest/batch={number}")
+        self._write(_judged(new), path)
+
+    def expire(self) -> None:
+        """Runs that have waited too long by what was taken go out with state "timeout"."""
+        for number in self._list("batches")[-1:]:
+            late = F.unix_millis("at") - F.lit(self.late_ms).cast("long")
+            watermark = self._read("latest", "at timestamp", [number]).select(late.alias("t")).first().t
+            over = F.unix_millis("at") + F.lit(self.wait_ms).cast("long") <= F.lit(watermark).cast("long")
+            held = self._read("batches", HELD, [number]).where("state = 'waiting'")
+            self._write(held.where(over).withColumn("state", F.lit("timeout")), f"{self.root}/timeouts/batch={number}")
+
+    def plans(self, before: int | None = None) -> DataFrame:
+        """(PLAN) of the runs that went out in the batches below ``before``, in all if it is None."""
+        known = lambda what: [n for n in self._list(what) if before is None or n < before]
+        whole = self._read("batches", HELD, known("batches")).where("state = 'merged'")
+        return whole.unionByName(self._read("timeouts", HELD, known("timeouts"))).drop("n_shards", "at")
+
+    def run(self, shards: DataFrame) -> DataFrame:
+        """Take all shards that a stream has now and return the plans so far.
+
+        Nothing times out before all are taken, so it is no matter how they are dealt to batches.
+        """
+        query = shards.writeStream.option("checkpointLocation", f"{self.root}/stream").trigger(availableNow=True).foreachBatch(self.take).start()
+        query.awaitTermination()
+        self.expire()
+        return self.plans()
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """(HELD) of shards (the columns of take, and again): the first of each, held ones before new ones, as a plan if the run's are all there.
+
+    One shuffle by run and one sort serve both windows.
+    """
+    order = ["again", F.col("at").asc_nulls_last(), F.col("path").asc_nulls_last(), "n_rows"]
+    copies = Window.partitionBy("run_id", "shard").orderBy(*order)
+    copies_all = copies.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    run = Window.partitionBy("run_id").orderBy("shard")
+    run_all = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = rows.repartition("run_id").select("run_id", "shard", "path", "n_rows", F.max("n_shards").over(copies_all).alias("n_shards"), F.min("at").over(copies_all).alias("at"), F.row_number().over(copies).alias("copy")).where("copy = 1")
+    known = first.select("run_id", "shard", "path", "n_rows", F.coalesce(F.sum("n_rows").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.count("*").over(run_all).alias("n"), F.max("n_shards").over(run_all).alias("n_shards"), F.min("at").over(run_all).alias("at"))
+    whole = F.col("n") >= F.col("n_shards")
+    return known.select("run_id", "shard", "path", "n_rows", F.when(whole, F.col("before")).alias("first_row"), F.when(whole, "merged").otherwise("waiting").alias("state"), "n_shards", "at")
+
+
 def merged(rows: DataFrame, plans: DataFrame) -> DataFrame:
     """Rows (run_id, shard, seq, ...) of merged runs with row_number, from 0, in the order of shards and of seq in them."""
     plan = plans.where("state = 'merged'").select("run_id", "shard", "first_row")

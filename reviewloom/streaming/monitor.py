@@ -41,11 +41,11 @@ class Step:
 STEPS = [Step("downloaded"), Step("assembled", after="downloaded"), Step("benchmarked", after="assembled")]
 
 
-class Monitor:
-    """The states and latches below ``root``, a folder that driver and executors share."""
+class Batches:
+    """Tables written by micro-batches below ``root``, a folder that driver and executors share."""
 
-    def __init__(self, spark: SparkSession, root: str, steps: list[Step] = STEPS):
-        self.spark, self.root, self.steps = spark, root.rstrip("/"), steps
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
 
     def _done(self, path: str) -> bool:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
@@ -68,6 +68,14 @@ class Monitor:
         empty = self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths) if paths else empty
 
+
+class Monitor(Batches):
+    """The states and latches of runs."""
+
+    def __init__(self, spark: SparkSession, root: str, steps: list[Step] = STEPS):
+        super().__init__(spark, root)
+        self.steps = steps
+
     def _rows(self, before: int | None = None) -> DataFrame:
         """The last whole copy of the states below ``before`` and what changed since."""
         known = lambda what: [n for n in self._list(what) if before is None or n < before]

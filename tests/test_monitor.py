@@ -7,10 +7,13 @@ import os
 import random
 from datetime import datetime, timedelta
 
+import duckdb
+import oracle
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from reviewloom.plans import registry
 from reviewloom.streaming import merging
 from reviewloom.streaming import monitor as N
 
@@ -168,3 +171,77 @@ def test_a_run_that_is_whole_at_once_sets_no_timer():
     (plan,) = plans.handleInputRows(("r",), iter([rows]), None)
     assert plan[["shard", "first_row", "state"]].values.tolist() == [[0, 0, "merged"], [1, 4, "merged"]]
     assert Handle.calls == ["get", (2, True, -1, [])]
+
+
+def test_runs_judged_by_batches_merge_once_in_order(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    day = lambda d: (T0 + timedelta(days=d)).isoformat()
+    files = [
+        [("a", 2, 3, "a2", 20, day(0)), ("b", 1, 2, "b1", 5, day(0)), (None, 1, 1, "n", 1, day(0))],
+        [("a", 1, 3, "a1", 10, day(1)), ("a", 2, 3, "again", 99, day(0))],
+        [("a", 3, 3, "a3", 30, day(1)), ("c", 1, 1, "c1", 7, day(1)), ("c", 1, 1, "c1 late", 8, day(2)), ("e", 1, 1, "e1", None, None)],
+        [("a", 3, 3, "late", 1, day(2)), ("d", 1, 2, "d1", 1, day(9))],
+        [("d", 2, 2, "d2", 4, day(9))],
+        [("b", 2, 2, "b2", 6, day(9))],
+    ]
+    names = [c.split()[0] for c in SHARD.split(", ")]
+    stream = lambda: spark.readStream.schema(SHARD).option("maxFilesPerTrigger", 1).json(str(src))
+
+    def run(name):  # another driver each time
+        return sorted((tuple(r) for r in merging.Merges(spark, f"file://{tmp_path}/{name}", late_ms=86_400_000).run(stream()).collect()), key=str)
+
+    def put(k):
+        (src / f"{k}.json").write_text("".join(json.dumps(dict(zip(names, row))) + "\n" for row in files[k]))
+        os.utime(src / f"{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))  # files are taken by age
+
+    whole = [("a", 1, "a1", 10, 0, "merged"), ("a", 2, "a2", 20, 10, "merged"), ("a", 3, "a3", 30, 30, "merged"), ("c", 1, "c1", 7, 0, "merged"), ("e", 1, "e1", None, 0, "merged")]
+    put(0)
+    assert run("each") == []
+    put(1), put(2)
+    assert run("each") == whole
+    put(3)
+    assert run("each") == sorted([*whole, ("b", 1, "b1", 5, None, "timeout")], key=str)
+    put(4), put(5)  # b's other shard comes after its timeout
+    d = [("d", 1, "d1", 1, 0, "merged"), ("d", 2, "d2", 4, 1, "merged")]
+    assert run("each") == run("each") == sorted([*whole, *d, ("b", 1, "b1", 5, None, "timeout")], key=str)
+    b = [("b", 1, "b1", 5, 0, "merged"), ("b", 2, "b2", 6, 5, "merged")]  # within one backlog it doesn't
+    assert run("once") == sorted([*whole, *d, *b], key=str)
+
+
+def test_a_crash_while_a_batch_is_judged_loses_and_repeats_nothing(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("a", 1, 2, "a1", 3, T0), ("b", 1, 1, "b1", 4, T0)], SHARD)
+    more = spark.createDataFrame([("a", 2, 2, "a2", 5, T0 + timedelta(days=9)), ("b", 1, 1, "again", 6, T0)], SHARD)
+    m = merging.Merges(spark, f"file://{tmp_path}/m")
+    m.take(rows, 0), m.take(rows, 0)
+    with monkeypatch.context() as broken:
+        broken.setattr(merging, "_judged", lambda df: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            m.take(more, 1)
+    m.take(more, 1), m.take(rows, 0)
+    m.expire(), m.expire()
+    assert sorted(tuple(r) for r in m.plans().collect()) == [("a", 1, "a1", 3, 0, "merged"), ("a", 2, "a2", 5, 3, "merged"), ("b", 1, "b1", 4, 0, "merged")]
+    assert [tuple(r)[:2] for r in m.plans(1).collect()] == [("b", 1)]
+
+
+def test_runs_are_judged_without_python(spark):
+    plan = merging._judged(spark.createDataFrame([], SHARD).withColumn("again", F.lit(1)))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and plan.count("Exchange") == 1 and plan.count("Sort ") == 1
+
+
+@pytest.mark.parametrize("odd", ["130 files", "nulls", "large ids", "no events"])
+def test_merged_shards_equal_the_sql_on_odd_events(spark, tmp_path, odd):
+    """130 files are three micro-batches, and each file spans all the time."""
+    made = {
+        "130 files": spark.range(0, 130 * 21, 1, 130).selectExpr("id AS event_id", "id % 50 + 0.5D AS value", "timestamp'2024-01-01' + make_dt_interval(int(id % 21)) AS ts"),
+        "nulls": spark.range(0, 700, 1, 1).selectExpr("if(id = 650, NULL, id) AS event_id", "if(id % 5 = 0, NULL, id % 50 + 0.5D) AS value", "if(id % 3 = 0 OR id < 21, NULL, timestamp'2024-01-01' + make_dt_interval(int(id div 20))) AS ts"),
+        "large ids": spark.range(1 << 60, (1 << 60) + 700, 1, 1).selectExpr("id AS event_id", "id % 50 + 0.5D AS value", "timestamp'2024-01-01' + make_dt_interval(int(id % 21)) AS ts"),
+        "no events": spark.range(0, 0, 1, 1).selectExpr("id AS event_id", "1D AS value", "timestamp'2024-01-01' AS ts"),
+    }
+    made[odd].write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT event_id, value, CAST(ts AS TIMESTAMP) AS ts FROM '{tmp_path}/events.parquet/*.parquet'")
+    name = "q_merged_shards"
+    got, want = registry.QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(registry.ORACLE_SQL[name]).df()
+    assert oracle.rows(got) == oracle.rows(want) and (len(want) > 500) == (odd != "no events")
